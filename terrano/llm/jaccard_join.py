@@ -1,8 +1,9 @@
 """N-gram Jaccard join: rare-first prefix filtering with length, positional and suffix filters.
 
-A document is the set of its distinct word n-grams (64-bit hashes).  All n-grams of all documents
-are counted into a fixed-size sketch; the sketch's counts, then the hashes, give one global order,
-the rarest first (any total order is exact, rarity only keeps the posting lists short).  Two sets
+A document is the set of its distinct word n-grams (64-bit hashes).  All n-grams and words of all
+documents are counted into fixed-size sketches; whether an n-gram stands out, then how frequent its
+words are, then its hash give one global order, the rarest first (any total order is exact, rarity
+only keeps the posting lists short).  Two sets
 with Jaccard >= t share an n-gram within their first n - ceil(t n) + 1.  Only prefix n-grams
 are joined; a pair must pass the length filter, the positional filter, and the suffix filter (a
 lower bound of the Hamming distance from how both sets fall into the parts of a recursive
@@ -28,10 +29,10 @@ from pyspark.sql.window import Window
 
 from .common import BLOCK_SCHEMA, emit_blocks, forget, prepare, stored, sum_blocks
 from .components import components
-from .textvec import mix, shingle_sets
+from .textvec import mix, shingle_sets, word_counts
 
-#: log2 of the counters of the rarity sketch (4 MB).
-SKETCH = 20
+#: log2 of the counters of the rarity sketches: n-grams (16 MB) and words (4 MB).
+SKETCH, WORD_SKETCH = 22, 20
 #: log2 of the bits that say whose sets are to be fetched (8 MB); false positives only cost time.
 WANTED = 26
 #: Parts of the n-gram space for the suffix filter.
@@ -57,38 +58,41 @@ def _batches(it, step: int = 200) -> Iterator[pa.RecordBatch]:
             yield b.slice(a, step)
 
 
-def rarity(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
-    """log2 of the documents that hold each sketch counter's n-grams, over all documents."""
+def rarity(docs: DataFrame, text_col: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two tables over all documents, by leading bits of hashes: log2 of how far n-grams stand out, and log2 counts of words.
 
+    The first finds n-grams that many documents share; below its noise, n-grams of rare words come first.
+    """
     def count(it):
         from pyspark import TaskContext
 
-        total = np.zeros(1 << SKETCH, dtype=np.uint32)
+        total = np.zeros((1 << SKETCH) + (1 << WORD_SKETCH), dtype=np.uint32)
         for b in it:
             for _, s in shingle_sets(b.column(0), k):
                 np.add.at(total, (s >> _U(64 - SKETCH)).astype(np.int64), 1)
+            word_counts(b.column(0), total[1 << SKETCH :])
         yield from emit_blocks(total, TaskContext.get().partitionId())
 
     n = docs.rdd.getNumPartitions()
-    total = sum_blocks(docs.sparkSession, docs.select(text_col).mapInArrow(count, BLOCK_SCHEMA), 1 << SKETCH, n)
+    total = sum_blocks(docs.sparkSession, docs.select(text_col).mapInArrow(count, BLOCK_SCHEMA), (1 << SKETCH) + (1 << WORD_SKETCH), n)
+    grams, single = total[: 1 << SKETCH], total[1 << SKETCH :]
     # counters near the mean hold many rare n-grams each: they are alike, and only what stands out is ordered
-    floor = 2 * total.mean() + 1
-    return np.log2(np.maximum(total / floor, 1)).astype(np.uint8)
+    return np.log2(np.maximum(grams / (2 * grams.mean() + 1), 1)).astype(np.uint8), (4 * np.log2(1.0 + single)).astype(np.uint8)
 
 
 SCHEMA = "doc_id long, n int, cls long, sig binary, tokens array<long>"
 
 
-def described(docs: DataFrame, id_col: str, text_col: str, k: int, t: int, rare: np.ndarray) -> DataFrame:
+def described(docs: DataFrame, id_col: str, text_col: str, k: int, t: int, rare: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """One row per input row: id, set size, class, and for the first row of a class in its task the prefix and the suffix-filter parts."""
     rare = docs.sparkSession.sparkContext.broadcast(rare)
 
     def describe(it):
-        rank, seen = rare.value, set()
+        (rank, weight), seen = rare.value, set()
         for b in _batches(it):
             ids = b.column(0)
             ns, keys, sigs, heads = [], [], [], []
-            for _, s in shingle_sets(b.column(1), k):
+            for _, s, w in shingle_sets(b.column(1), k, weight):
                 n = len(s)
                 key = set_key(s) if n else None
                 ns.append(n)
@@ -99,7 +103,7 @@ def described(docs: DataFrame, id_col: str, text_col: str, k: int, t: int, rare:
                     continue
                 seen.add(key)
                 p = n - -(-t * n // 100) + 1
-                heads.append(s[np.argsort(rank[(s >> _U(64 - SKETCH)).astype(np.int64)], kind="stable")[:p]].view(np.int64))
+                heads.append(s[np.argsort(rank[(s >> _U(64 - SKETCH)).astype(np.int64)] * np.int64(1 << 20) + w, kind="stable")[:p]].view(np.int64))
                 # other bits than the sketch's, as the parts must split what is alike there
                 part = np.bincount(((s >> _U(8)) & _U(PARTS - 1)).astype(np.int64), minlength=PARTS)
                 sigs.append(np.minimum(part, 255).astype(np.uint8).tobytes())
@@ -225,6 +229,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     members = None  # (cls, root): classes in a component of several
     tried: list[DataFrame] = []
     links: list[DataFrame] = []
+    left = 0
     for round_ in range(MAX_ROUNDS + 1):
         now = p if members is None else p.join(members.select(F.col("node").alias("cls"), "root"), "cls", "left")
         now = now.withColumn("comp", F.col("cls") if members is None else F.coalesce("root", "cls")).drop("root")
@@ -236,7 +241,9 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
         total = now.agg(F.count("*"), F.sum(F.when(F.col("comp") != F.col("major"), F.col("all")).otherwise(0))).first()
         if not total[0]:
             break
-        last = round_ == MAX_ROUNDS or (round_ > 0 and (total[1] or 0) <= 8 * total[0] + 100_000)
+        left, before = total[1] or 0, left
+        # rounds with leaders are worth it while they merge; what they leave are lists of unlike texts
+        last = round_ == MAX_ROUNDS or (round_ > 0 and (left <= 16 * total[0] + 100_000 or 2 * left > before))
         if last:
             # every pair of different components: rows outside the list's main component meet the whole list
             minor = now.where("comp != major").select("token", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("comp").alias("cx"))

@@ -123,21 +123,43 @@ def windows(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
     return start, span(prefix(hashes, WORDS), start, start + k, WORDS)
 
 
-def shingle_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, sorted distinct shingle hashes), A-Z lower-cased; fewer than k words: one shingle of all; none: empty."""
+def shingle_sets(texts: pa.Array, k: int, weight: np.ndarray | None = None) -> Iterator[tuple]:
+    """(row, sorted distinct shingle hashes), A-Z lower-cased; fewer than k words: one shingle of all; none: empty.
+
+    With weight, a table by the leading bits of a word's hash: also the sum of the words' weights of each shingle.
+    """
+    shift = _U(64 - (len(weight).bit_length() - 1)) if weight is not None else None
     for row, data, off in chunks(texts):
         low = LOWER[data]
         s, e, first = words(low, off)
         h = word_hashes(low, s, e)
         start, g = windows(h, first, k)
+        if weight is not None:
+            heavy = np.concatenate(([0], np.cumsum(weight[(h >> shift).astype(np.int64)], dtype=np.int64)))
+            w = heavy[start + k] - heavy[start]
         bound = np.searchsorted(start, first)
         sums = None
         for i in range(len(off) - 1):
             a, b = bound[i], bound[i + 1]
             if b > a:
-                yield row + i, np.unique(g[a:b])
-            elif first[i + 1] > first[i]:
+                if weight is None:
+                    yield row + i, np.unique(g[a:b])
+                else:
+                    u, at = np.unique(g[a:b], return_index=True)
+                    yield row + i, u, w[a + at]
+                continue
+            if first[i + 1] > first[i]:
                 sums = prefix(h, WORDS) if sums is None else sums
-                yield row + i, span(sums, first[i : i + 1], first[i + 1 : i + 2], WORDS)
+                one = span(sums, first[i : i + 1], first[i + 1 : i + 2], WORDS)
             else:
-                yield row + i, np.zeros(0, _U)
+                one = np.zeros(0, _U)
+            yield (row + i, one) if weight is None else (row + i, one, np.zeros(len(one), np.int64))
+
+
+def word_counts(texts: pa.Array, total: np.ndarray) -> None:
+    """Adds every word, A-Z lower-cased, to the counter of its hash's leading bits."""
+    shift = _U(64 - (len(total).bit_length() - 1))
+    for _, data, off in chunks(texts):
+        low = LOWER[data]
+        s, e, _ = words(low, off)
+        np.add.at(total, (word_hashes(low, s, e) >> shift).astype(np.int64), 1)
