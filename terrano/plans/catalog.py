@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import flows, prices, space  # noqa: F401
+from .base import QUERIES, SQL  # noqa: F401
