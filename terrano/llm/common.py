@@ -102,3 +102,29 @@ def sum_blocks(spark: SparkSession, blocks: DataFrame, size: int, partitions: in
         a = r["block"] * BLOCK
         out[a : a + BLOCK] = part[: len(out[a : a + BLOCK])]
     return out
+
+
+#: log2 of the bits of a membership filter (8 MB, whatever the input); false positives only cost time.
+MEMBERS = 26
+
+
+def member_bits(keys: DataFrame) -> np.ndarray:
+    """A bit for the leading bits of every key (one column of longs), packed; the size is fixed."""
+    def mark(it):
+        from pyspark import TaskContext
+
+        bits = np.zeros(1 << MEMBERS, dtype=bool)
+        for b in it:
+            bits[b.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - MEMBERS)] = True
+        yield from emit_blocks(np.packbits(bits).view("<u4"), TaskContext.get().partitionId())
+
+    # blocks are added up, and a bit may be set once only: each block's keys go to one task
+    c = keys.columns[0]
+    keys = keys.distinct().repartition(F.shiftrightunsigned(c, 64 - MEMBERS + 19))
+    packed = sum_blocks(keys.sparkSession, keys.mapInArrow(mark, BLOCK_SCHEMA), (1 << MEMBERS) // 32, 1)
+    return packed.astype("<u4").view(np.uint8)
+
+
+def is_member(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys.view(np.uint64) >> np.uint64(64 - MEMBERS)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)

@@ -27,14 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BLOCK_SCHEMA, emit_blocks, forget, prepare, stored, sum_blocks
+from .common import BLOCK_SCHEMA, emit_blocks, forget, is_member, member_bits, prepare, stored, sum_blocks
 from .components import components
 from .textvec import mix, shingle_sets, word_counts
 
 #: log2 of the counters of the rarity sketches: n-grams (16 MB) and words (4 MB).
 SKETCH, WORD_SKETCH = 22, 20
-#: log2 of the bits that say whose sets are to be fetched (8 MB); false positives only cost time.
-WANTED = 26
 #: Parts of the n-gram space for the suffix filter.
 PARTS = 128
 MAX_ROUNDS = 6
@@ -149,19 +147,7 @@ def fetched(docs: DataFrame, text_col: str, k: int, nodes: DataFrame) -> DataFra
     """(cls, set) of the classes in nodes (cls), once for each task that reads one; some others as well."""
     spark = docs.sparkSession
 
-    def mark(it):
-        from pyspark import TaskContext
-
-        bits = np.zeros(1 << WANTED, dtype=bool)
-        for b in it:
-            bits[b.column(0).to_numpy().view(_U) >> _U(64 - WANTED)] = True
-        packed = np.packbits(bits).view("<u4")
-        yield from emit_blocks(packed, TaskContext.get().partitionId())
-
-    # or-ing of bits as a sum would carry over, so each class is marked in one task: nodes are distinct and dealt by their leading bits
-    nodes = nodes.repartition(F.shiftrightunsigned("cls", 64 - WANTED + 19))
-    packed = sum_blocks(spark, nodes.mapInArrow(mark, BLOCK_SCHEMA), (1 << WANTED) // 32, 1)
-    wanted = spark.sparkContext.broadcast(packed.astype("<u4").view(np.uint8))
+    wanted = spark.sparkContext.broadcast(member_bits(nodes))
 
     def fetch(it):
         bits, seen = wanted.value, set()
@@ -171,8 +157,7 @@ def fetched(docs: DataFrame, text_col: str, k: int, nodes: DataFrame) -> DataFra
                 if not len(s):
                     continue
                 key = set_key(s)
-                at = (key & 2**64 - 1) >> (64 - WANTED)
-                if bits[at >> 3] >> (7 - (at & 7)) & 1 and key not in seen:
+                if key not in seen and is_member(bits, np.array([key]))[0]:
                     seen.add(key)
                     keys.append(key)
                     sets.append(s.tobytes())

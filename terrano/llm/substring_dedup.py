@@ -1,8 +1,8 @@
 """Substring dedup by super-k-mer partitioning.
 
-A window is 13 consecutive words.  Its minimiser is the least of its 3-word m-grams; m-grams that
-stand out in a fixed-size count sketch of all text rank behind all others, so a frequent phrase
-does not draw half of all windows into one bucket.  Consecutive windows with one minimiser
+A window is 13 consecutive words.  Its minimiser is the least of its words' hashes;
+words that stand out in a fixed-size count sketch of all text rank behind all others, so a frequent
+word does not draw half of all windows into one bucket.  Consecutive windows with one minimiser
 travel together as one packed string (their words, joined by a space) to the minimiser's bucket,
 many strings of a task in one compressed block.  In the bucket the windows are sorted by hash,
 equal neighbours are compared word by word, and each window that also starts in a document
@@ -20,14 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOCK_SCHEMA, emit_blocks, empty_to_string, parts, prepare, sum_blocks
+from .common import BLOCK_SCHEMA, MEMBERS, emit_blocks, empty_to_string, is_member, member_bits, parts, prepare, stored, sum_blocks
 from .textvec import SPACE, WORDS, chunks, mix, prefix, span, windows, word_hashes, words
 
 WINDOW = 13
-MGRAM = 3
+MGRAM = 1
 SKETCH = 20
 #: Bytes of packed strings that a task gathers before it sends blocks.
 FLUSH = 12 << 20
@@ -224,19 +225,43 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     and empty texts have no words.  Windows are judged on the input.  An empty table gives an
     empty result.
     """
-    prepare(docs.sparkSession)
+    spark = prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(empty_to_string(text_col)).alias("h"), F.col(text_col).alias("t"))
-    ranges = marked(rows).groupBy(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
-    both = rows.join(ranges, (F.coalesce("doc_id", F.lit(_NULL)) == F.col("__d")) & (F.col("h") == F.col("__h")), "left").select("doc_id", "t", "ranges")
+    ranges = stored(marked(rows))
+    # texts that lose nothing are finished where they are read; only the others travel to their ranges
+    bits = spark.sparkContext.broadcast(np.full((1 << MEMBERS) // 8, 255, np.uint8) if texts else member_bits(ranges.select("h")))
+    schema = "doc_id long, h long, t string, n_words long, kept_sha256 string"
+
+    def split(it):
+        for b in it:
+            travel = is_member(bits.value, b.column(1).to_numpy())
+            count, digest = [], []
+            for row, data, off in chunks(b.column(2)):
+                s, e, first = words(data, off)
+                text, ps, pe = packed(data, s, e) if len(s) else (b"", s, e)
+                for i, (a, z) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+                    count.append(z - a)
+                    digest.append(None if travel[row + i] else hashlib.sha256(text[ps[a] : pe[z - 1]] if z > a else b"").hexdigest())
+            t = pc.if_else(pa.array(travel), b.column(2), pa.scalar(None, b.column(2).type))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), t, pa.array(count, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "h", "t", "n_words", "kept_sha256"])
+
+    rows = rows.mapInArrow(split, schema)
+    ranges = ranges.groupBy(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
+    both = rows.join(ranges, (F.coalesce("doc_id", F.lit(_NULL)) == F.col("__d")) & (F.col("h") == F.col("__h")), "left").select("doc_id", "t", "ranges", "n_words", "kept_sha256")
 
     def finish(it):
         for b in it:
-            ids, spans = b.column(0), b.column(2)
-            count, gone, digest, kept = [], [], [], []
+            spans, known, n = b.column(2), b.column(4), b.column(3).to_numpy()
+            gone, digest, kept = [], [], []
             for row, data, off in chunks(b.column(1)):
                 s, e, first = words(data, off)
                 text, ps, pe = packed(data, s, e) if len(s) else (b"", s, e)
                 for i in range(len(off) - 1):
+                    if known[row + i].is_valid:
+                        gone.append(0)
+                        digest.append(known[row + i].as_py())
+                        kept.append(None)
+                        continue
                     a, z = int(first[i]), int(first[i + 1])
                     out, lost, cuts = b"", 0, spans[row + i].as_py()
                     if cuts:
@@ -248,12 +273,10 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                         out = b" ".join(text[x:y] for x, y in zip(ps[a + live].tolist(), pe[a + live].tolist(), strict=True))
                     elif z > a:
                         out = text[ps[a] : pe[z - 1]]
-                    count.append(z - a)
                     gone.append(lost)
                     digest.append(hashlib.sha256(out).hexdigest())
                     kept.append(out.decode("utf-8", "replace") if texts else None)
-            cols = [ids, pa.array(count, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
     out = both.mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return out if texts else out.drop("kept_text")
