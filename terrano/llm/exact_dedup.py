@@ -48,7 +48,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         nodes = stored(nodes)
         alone = F.col("n").isNull()
         ended = F.length("piece") < width
-        met = level.join(nodes, ["node", "piece"], "left").select(
+        # a merge join at every size: it splits hot nodes on the document side, and nodes are never broadcast
+        met = level.join(nodes.hint("merge"), ["node", "piece"], "left").select(
             *kept,
             F.coalesce("n", F.lit(1)).alias("group_size"),
             F.when(alone, F.col("doc_id")).otherwise(F.col("least")).alias("keep_id"),
