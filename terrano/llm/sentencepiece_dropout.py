@@ -16,7 +16,9 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import prepare
-from .textvec import _mix_scalar, mix
+from .textvec import mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
@@ -32,7 +34,9 @@ SEED = 29
 #: Documents are dealt over so many variants by id; each variant has its own segmentations.
 VARIANTS = 3
 #: Units remembered for each variant and worker.
-MEMORY = 120_000
+MEMORY = 350_000
+#: Documents whose new units are segmented together.
+STEP = 500
 #: Longer units take the agenda one by one instead of in step with others.
 LONG = 48
 MARK = "▁"
@@ -89,10 +93,8 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def unit_key(seed: int, variant: int, unit: str) -> int:
-    h = _mix_scalar(seed * 0x9E3779B97F4A7C15 + variant + 1)
-    for b in unit.encode("utf-8", "surrogatepass"):
-        h = _mix_scalar(h ^ (b + 0x100))
-    return h
+    """The keyed hash of a unit, from which its merges are skipped."""
+    return int.from_bytes(blake2b(unit.encode("utf-8", "surrogatepass"), digest_size=8, key=b"%d %d" % (seed, variant)).digest(), "little")
 
 
 def _skipped(key, start, middle, end, p: float):
@@ -244,7 +246,7 @@ class Encoder:
             new = list({u for x, w in zip(split, variants, strict=True) if w == k for u in x if u not in seen})
             plain = [u for u in new if u[0] != "\0"]
             for u, ids in zip(plain, segment_many(self.v, plain, [unit_key(self.seed, k, u) for u in plain], self.p), strict=True):
-                seen[u] = np.array(ids, dtype="<i4").tobytes()
+                seen[u] = array("i", ids).tobytes()
             if len(plain) < len(new):
                 seen["\0" + MARK] = np.array([self.v.bytes[b] for b in MARK.encode()], dtype="<i4").tobytes()
         return [np.frombuffer(b"".join([self.seen[k][u] for u in x]), dtype="<i4") for x, k in zip(split, variants, strict=True)]
@@ -266,8 +268,8 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
     def each(it):
         e = Encoder(path, dropout, seed)
         for b in it:
-            for a in range(0, b.num_rows, 200):
-                part = b.slice(a, 200)
+            for a in range(0, b.num_rows, STEP):
+                part = b.slice(a, STEP)
                 texts = [x or "" for x in part.column(2).to_pylist()]
                 ids = e.encode(texts, part.column(1).to_pylist())
                 same = [e.decode(x.tolist()) == t for x, t in zip(ids, texts, strict=True)]
