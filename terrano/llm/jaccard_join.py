@@ -7,7 +7,7 @@ only keeps the posting lists short).  Two sets
 with Jaccard >= t share an n-gram within their first n - ceil(t n) + 1.  Only prefix n-grams
 are joined; a pair must pass the length filter, the positional filter, and the suffix filter (a
 lower bound of the Hamming distance from how both sets fall into the parts of a recursive
-halving of the n-gram space) before its sets are fetched and it is verified, once.
+halving of the n-gram space: by parities in the join itself, then by counts) before its sets are fetched and it is verified, once.
 
 The result is the components of the links, not all links, so groups of near copies need not be
 expanded: equal sets are one class from the start; then rounds join the classes of a posting list
@@ -33,8 +33,10 @@ from .textvec import mix, shingle_sets, word_counts
 
 #: log2 of the counters of the rarity sketches: n-grams (16 MB) and words (4 MB).
 SKETCH, WORD_SKETCH = 22, 20
-#: Parts of the n-gram space for the suffix filter.
+#: Parts of the n-gram space for the suffix filter: counted, and by parity (64 in each long).
 PARTS = 128
+LONGS = 8
+PARITY = [f"q{i}" for i in range(LONGS)]
 MAX_ROUNDS = 6
 _U = np.uint64
 
@@ -78,7 +80,7 @@ def rarity(docs: DataFrame, text_col: str, k: int) -> tuple[np.ndarray, np.ndarr
     return np.log2(np.maximum(grams / (2 * grams.mean() + 1), 1)).astype(np.uint8), (4 * np.log2(1.0 + single)).astype(np.uint8)
 
 
-SCHEMA = "doc_id long, n int, cls long, sig binary, tokens array<long>"
+SCHEMA = "doc_id long, n int, cls long, sig binary, parity array<long>, tokens array<long>"
 
 
 def described(docs: DataFrame, id_col: str, text_col: str, k: int, t: int, rare: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -89,7 +91,7 @@ def described(docs: DataFrame, id_col: str, text_col: str, k: int, t: int, rare:
         (rank, weight), seen = rare.value, set()
         for b in _batches(it):
             ids = b.column(0)
-            ns, keys, sigs, heads = [], [], [], []
+            ns, keys, sigs, odd, heads = [], [], [], [], []
             for _, s, w in shingle_sets(b.column(1), k, weight):
                 n = len(s)
                 key = set_key(s) if n else None
@@ -97,6 +99,7 @@ def described(docs: DataFrame, id_col: str, text_col: str, k: int, t: int, rare:
                 keys.append(key)
                 if not n or key in seen:
                     sigs.append(None)
+                    odd.append(None)
                     heads.append(None)
                     continue
                 seen.add(key)
@@ -105,9 +108,11 @@ def described(docs: DataFrame, id_col: str, text_col: str, k: int, t: int, rare:
                 # other bits than the sketch's, as the parts must split what is alike there
                 part = np.bincount(((s >> _U(8)) & _U(PARTS - 1)).astype(np.int64), minlength=PARTS)
                 sigs.append(np.minimum(part, 255).astype(np.uint8).tobytes())
+                part = np.bincount(((s >> _U(20)) & _U(64 * LONGS - 1)).astype(np.int64), minlength=64 * LONGS) & 1
+                odd.append(np.packbits(part.astype(bool)).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [ids.cast(pa.int64()), pa.array(ns, pa.int32()), pa.array(keys, pa.int64()), pa.array(sigs, pa.binary()), pa.array(heads, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "cls", "sig", "tokens"])
+                [ids.cast(pa.int64()), pa.array(ns, pa.int32()), pa.array(keys, pa.int64()), pa.array(sigs, pa.binary()), pa.array(odd, pa.list_(pa.int64())), pa.array(heads, pa.list_(pa.int64()))],
+                names=["doc_id", "n", "cls", "sig", "parity", "tokens"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(describe, SCHEMA)
 
@@ -117,11 +122,16 @@ def _overlap(na, nb, t: int):
     return F.ceil(F.lit(t) * (na + nb) / F.lit(100.0 + t) - F.lit(1e-9))
 
 
-def _passes(t: int):
-    """Length and positional filter for two postings of one n-gram."""
+def _passes(t: int, qa: list, qb: list):
+    """Length, positional and parity filter for two postings of one n-gram.
+
+    Where the sizes of a part differ in parity, the sets differ there by one n-gram at least.
+    """
     na, nb, pa_, pb = F.col("na"), F.col("nb"), F.col("pa"), F.col("pb")
     bound = F.least(pa_, pb) + 1 + F.least(na - pa_ - 1, nb - pb - 1)
-    return (100 * F.least(na, nb) >= t * F.greatest(na, nb)) & (bound >= _overlap(na, nb, t))
+    apart = sum((F.bit_count(a.bitwiseXOR(b)) for a, b in zip(qa, qb, strict=True)), F.lit(0))
+    need = _overlap(na, nb, t)
+    return (100 * F.least(na, nb) >= t * F.greatest(na, nb)) & (bound >= need) & (apart <= na + nb - 2 * need)
 
 
 def suffix_filtered(pairs: DataFrame, sigs: DataFrame, t: int) -> DataFrame:
@@ -209,7 +219,9 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     p = p.withColumn("lo", F.min("cls").over(w)).withColumn("hi", F.max("cls").over(w)).where("lo != hi").select("token", "cls", "n", "pos")
     p = stored(p.distinct())
     share = p.groupBy("cls").agg((F.count("*") / F.first(F.col("n") * (100 - t) / 100 + 1)).alias("share"))
-    p = stored(p.join(share, "cls"))
+    odd = rows.where("parity IS NOT NULL").groupBy("cls").agg(F.first("parity").alias("parity"))
+    p = p.join(share.join(odd, "cls"), "cls")
+    p = stored(p.select("token", "cls", "n", "pos", "share", *[F.get("parity", F.lit(i)).alias(q) for i, q in enumerate(PARITY)]))
     sigs = stored(sigs.join(p.select("cls").distinct(), "cls", "left_semi"))
     members = None  # (cls, root): classes in a component of several
     tried: list[DataFrame] = []
@@ -231,18 +243,20 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
         last = round_ == MAX_ROUNDS or (round_ > 0 and (left <= 16 * total[0] + 100_000 or 2 * left > before))
         if last:
             # every pair of different components: rows outside the list's main component meet the whole list
-            minor = now.where("comp != major").select("token", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("comp").alias("cx"))
+            minor = now.where("comp != major").select("token", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("comp").alias("cx"), *[F.col(q).alias(f"x{q}") for q in PARITY])
+            qa, qb = [F.col(f"x{q}") for q in PARITY], [F.col(q) for q in PARITY]
             pairs = minor.join(now, "token").where("comp != cx").select(
                 F.least("x", "cls").alias("a"), F.greatest("x", "cls").alias("b"),
                 F.when(F.col("x") < F.col("cls"), F.col("nx")).otherwise(F.col("n")).alias("na"), F.when(F.col("x") < F.col("cls"), F.col("n")).otherwise(F.col("nx")).alias("nb"),
-                F.when(F.col("x") < F.col("cls"), F.col("px")).otherwise(F.col("pos")).alias("pa"), F.when(F.col("x") < F.col("cls"), F.col("pos")).otherwise(F.col("px")).alias("pb"))
+                F.when(F.col("x") < F.col("cls"), F.col("px")).otherwise(F.col("pos")).alias("pa"), F.when(F.col("x") < F.col("cls"), F.col("pos")).otherwise(F.col("px")).alias("pb"), *[f"x{q}" for q in PARITY], *PARITY)
         else:
             # the leader: from the main component once there is one, by the share of its prefix that others have, then by a hash that changes with the round
             rank = F.struct(F.col("comp") == F.col("major") if round_ > 1 else F.lit(True), F.col("share") if round_ == 0 else F.lit(0.0), F.xxhash64("cls", F.lit(round_)))
-            lead = now.groupBy("token").agg(F.max_by(F.struct("cls", "n", "pos", "comp"), rank).alias("lead"))
+            lead = now.groupBy("token").agg(F.max_by(F.struct("cls", "n", "pos", "comp", *PARITY), rank).alias("lead"))
             pairs = now.join(lead, "token").where("comp != lead.comp").select(
-                F.col("lead.cls").alias("a"), F.col("cls").alias("b"), F.col("lead.n").alias("na"), F.col("n").alias("nb"), F.col("lead.pos").alias("pa"), F.col("pos").alias("pb"))
-        pairs = pairs.where(_passes(t)).groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"))
+                F.col("lead.cls").alias("a"), F.col("cls").alias("b"), F.col("lead.n").alias("na"), F.col("n").alias("nb"), F.col("lead.pos").alias("pa"), F.col("pos").alias("pb"), *[F.col(f"lead.{q}").alias(f"x{q}") for q in PARITY], *PARITY)
+            qa, qb = [F.col(f"x{q}") for q in PARITY], [F.col(q) for q in PARITY]
+        pairs = pairs.where(_passes(t, qa, qb)).groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"))
         pairs = stored(suffix_filtered(pairs, sigs, t))
         found = stored(verified(pairs, docs, text_col, k, t)) if pairs.take(1) else None
         forget(spark, pairs)
