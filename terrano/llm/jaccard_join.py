@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BLOCK_SCHEMA, emit_blocks, forget, is_member, member_bits, prepare, stored, sum_blocks
+from .common import BLOCK_SCHEMA, emit_blocks, forget, freed, is_member, member_bits, prepare, stored, sum_blocks
 from .components import components
 from .textvec import mix, shingle_sets, word_counts
 
@@ -80,6 +80,19 @@ def rarity(docs: DataFrame, text_col: str, k: int) -> tuple[np.ndarray, np.ndarr
     return np.log2(np.maximum(grams / (2 * grams.mean() + 1), 1)).astype(np.uint8), (4 * np.log2(1.0 + single)).astype(np.uint8)
 
 
+def parts_of(n: int) -> int:
+    """Counted parts of a set's signature: a power of two, about one for eight n-grams, so that long sets are told apart as well."""
+    return max(PARTS, 1 << (n // 8).bit_length())
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """A lower bound of the Hamming distance from two signatures; the longer one is folded to the shorter one's parts."""
+    x, y = (np.frombuffer(v, dtype=np.uint8).astype(np.int64) for v in (x, y))
+    k = min(len(x), len(y))
+    x, y = ((v.reshape(-1, k).sum(0) if len(v) > k else v) for v in (x, y))
+    return int(np.abs(x - y).sum())
+
+
 SCHEMA = "doc_id long, n int, cls long, sig binary, parity array<long>, tokens array<long>"
 
 
@@ -106,7 +119,8 @@ def described(docs: DataFrame, id_col: str, text_col: str, k: int, t: int, rare:
                 p = n - -(-t * n // 100) + 1
                 heads.append(s[np.argsort(rank[(s >> _U(64 - SKETCH)).astype(np.int64)] * np.int64(1 << 20) + w, kind="stable")[:p]].view(np.int64))
                 # other bits than the sketch's, as the parts must split what is alike there
-                part = np.bincount(((s >> _U(8)) & _U(PARTS - 1)).astype(np.int64), minlength=PARTS)
+                many = parts_of(n)
+                part = np.bincount(((s >> _U(8)) & _U(many - 1)).astype(np.int64), minlength=many)
                 sigs.append(np.minimum(part, 255).astype(np.uint8).tobytes())
                 part = np.bincount(((s >> _U(20)) & _U(64 * LONGS - 1)).astype(np.int64), minlength=64 * LONGS) & 1
                 odd.append(np.packbits(part.astype(bool)).view(np.int64))
@@ -144,10 +158,10 @@ def suffix_filtered(pairs: DataFrame, sigs: DataFrame, t: int) -> DataFrame:
         for b in it:
             if not b.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint8).reshape(-1, PARTS).astype(np.int32) for c in ("sa", "sb"))
-            na, nb = (b.column(c).to_numpy() for c in ("na", "nb"))
-            need = -(-t * (na.astype(np.int64) + nb) // (100 + t))
-            ok = np.abs(x - y).sum(1) <= na + nb - 2 * need
+            na, nb = (b.column(c).to_numpy().astype(np.int64) for c in ("na", "nb"))
+            need = -(-t * (na + nb) // (100 + t))
+            lower = np.array([apart(x, y) for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist(), strict=True)])
+            ok = lower <= na + nb - 2 * need
             yield b.select(["a", "b", "na", "nb"]).filter(pa.array(ok))
 
     return both.mapInArrow(check, "a long, b long, na int, nb int")
@@ -217,11 +231,12 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     p = rows.where("tokens IS NOT NULL").select("cls", "n", F.posexplode("tokens").alias("pos", "token"))
     w = Window.partitionBy("token")
     p = p.withColumn("lo", F.min("cls").over(w)).withColumn("hi", F.max("cls").over(w)).where("lo != hi").select("token", "cls", "n", "pos")
-    p = stored(p.distinct())
+    first = p = stored(p.distinct())
     share = p.groupBy("cls").agg((F.count("*") / F.first(F.col("n") * (100 - t) / 100 + 1)).alias("share"))
     odd = rows.where("parity IS NOT NULL").groupBy("cls").agg(F.first("parity").alias("parity"))
     p = p.join(share.join(odd, "cls"), "cls")
     p = stored(p.select("token", "cls", "n", "pos", "share", *[F.get("parity", F.lit(i)).alias(q) for i, q in enumerate(PARITY)]))
+    forget(spark, first)
     sigs = stored(sigs.join(p.select("cls").distinct(), "cls", "left_semi"))
     members = None  # (cls, root): classes in a component of several
     tried: list[DataFrame] = []
@@ -266,6 +281,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
             for x in links[1:]:
                 whole = whole.unionByName(x)
             members = stored(components(whole))
+        freed(spark)
         if last:
             break
     least = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
