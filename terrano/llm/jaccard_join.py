@@ -260,7 +260,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
             # every pair of different components: rows outside the list's main component meet the whole list
             minor = now.where("comp != major").select("token", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("comp").alias("cx"), *[F.col(q).alias(f"x{q}") for q in PARITY])
             qa, qb = [F.col(f"x{q}") for q in PARITY], [F.col(q) for q in PARITY]
-            pairs = minor.join(now, "token").where("comp != cx").select(
+            pairs = minor.join(now, "token").where("comp != cx AND (comp = major OR x < cls)").select(
                 F.least("x", "cls").alias("a"), F.greatest("x", "cls").alias("b"),
                 F.when(F.col("x") < F.col("cls"), F.col("nx")).otherwise(F.col("n")).alias("na"), F.when(F.col("x") < F.col("cls"), F.col("n")).otherwise(F.col("nx")).alias("nb"),
                 F.when(F.col("x") < F.col("cls"), F.col("px")).otherwise(F.col("pos")).alias("pa"), F.when(F.col("x") < F.col("cls"), F.col("pos")).otherwise(F.col("px")).alias("pb"), *[f"x{q}" for q in PARITY], *PARITY)
