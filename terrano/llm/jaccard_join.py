@@ -14,7 +14,8 @@ expanded: equal sets are one class from the start; then rounds join the classes
 with one leader of the list (the class that shares most of its prefix, usually the text that
 the others were made from), and merge what links.  At last every remaining pair of classes that
 share a prefix n-gram and lie in different components is verified, so no link that would join
-two components is lost.  Rounds repeat while they merge and the remaining pairs are many.
+two components is lost; a run of consecutive shared n-grams, as a common passage makes, gives
+the pair once, at its first.  Rounds repeat while they merge and the remaining pairs are many.
 """
 
 from __future__ import annotations
@@ -232,10 +233,11 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     w = Window.partitionBy("token")
     p = p.withColumn("lo", F.min("cls").over(w)).withColumn("hi", F.max("cls").over(w)).where("lo != hi").select("token", "cls", "n", "pos")
     first = p = stored(p.distinct())
-    share = p.groupBy("cls").agg((F.count("*") / F.first(F.col("n") * (100 - t) / 100 + 1)).alias("share"))
+    own = Window.partitionBy("cls")
+    p = p.withColumn("share", F.count("*").over(own) / (F.col("n") * (100 - t) / 100 + 1)).withColumn("prev", F.lag("token").over(own.orderBy("pos")))
     odd = rows.where("parity IS NOT NULL").groupBy("cls").agg(F.first("parity").alias("parity"))
-    p = p.join(share.join(odd, "cls"), "cls")
-    p = stored(p.select("token", "cls", "n", "pos", "share", *[F.get("parity", F.lit(i)).alias(q) for i, q in enumerate(PARITY)]))
+    p = p.join(odd, "cls")
+    p = stored(p.select("token", "cls", "n", "pos", "prev", "share", *[F.get("parity", F.lit(i)).alias(q) for i, q in enumerate(PARITY)]))
     forget(spark, first)
     sigs = stored(sigs.join(p.select("cls").distinct(), "cls", "left_semi"))
     members = None  # (cls, root): classes in a component of several
@@ -257,10 +259,11 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
         # rounds with leaders are worth it while they merge; what they leave are lists of unlike texts
         last = round_ == MAX_ROUNDS or (round_ > 0 and (left <= 16 * total[0] + 100_000 or 2 * left > before))
         if last:
-            # every pair of different components: rows outside the list's main component meet the whole list
-            minor = now.where("comp != major").select("token", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("comp").alias("cx"), *[F.col(q).alias(f"x{q}") for q in PARITY])
+            # every pair of different components: rows outside the list's main component meet the whole list;
+            # where both come from the same list before this one, the pair was made there
+            minor = now.where("comp != major").select("token", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("comp").alias("cx"), F.col("prev").alias("vx"), *[F.col(q).alias(f"x{q}") for q in PARITY])
             qa, qb = [F.col(f"x{q}") for q in PARITY], [F.col(q) for q in PARITY]
-            pairs = minor.join(now, "token").where("comp != cx AND (comp = major OR x < cls)").select(
+            pairs = minor.join(now, "token").where("comp != cx AND (comp = major OR x < cls) AND (vx IS NULL OR prev IS NULL OR vx != prev)").select(
                 F.least("x", "cls").alias("a"), F.greatest("x", "cls").alias("b"),
                 F.when(F.col("x") < F.col("cls"), F.col("nx")).otherwise(F.col("n")).alias("na"), F.when(F.col("x") < F.col("cls"), F.col("n")).otherwise(F.col("nx")).alias("nb"),
                 F.when(F.col("x") < F.col("cls"), F.col("px")).otherwise(F.col("pos")).alias("pa"), F.when(F.col("x") < F.col("cls"), F.col("pos")).otherwise(F.col("px")).alias("pb"), *[f"x{q}" for q in PARITY], *PARITY)
