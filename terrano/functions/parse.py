@@ -95,3 +95,38 @@ def repaired(c: Column) -> Column:
 
 def shown(c: Column, places: int = 3) -> Column:
     return F.coalesce(F.format_number(F.nullif(c, F.lit(float("nan"))), places), F.lit("--"))
+
+
+#: Class of a navigation map -> class whose speed holds on national roads.
+MAP_CLASSES = {
+    "motorway": "motorway", "trunk": "primary", "primary": "secondary", "secondary": "tertiary", "tertiary": "unclassified",
+    "residential": "residential", "unpaved": "unpaved", "alley": "service", "private": "service", "service": "service",
+}
+#: Labels of numbered roads, the class they make and the speed they allow at least.
+NUMBERED = [(r"^A\d{1,2}$", "motorway", 140.0), (r"^S\d{1,3}$", "trunk", 120.0)]
+
+
+def map_class(cls: Column, label: Column, numbered: bool = True) -> Column:
+    """Road class of a navigation map's line; classes that cannot be driven are null."""
+    known = F.try_element_at(F.create_map(*[F.lit(x) for kv in MAP_CLASSES.items() for x in kv]), cls)
+    for pattern, road, _ in reversed(NUMBERED if numbered else []):
+        known = F.when(F.trim(label).rlike(pattern), road).otherwise(known)
+    return known
+
+
+def numbered_speed(kmh: Column, label: Column) -> Column:
+    """A speed, raised to what a numbered road allows."""
+    out = kmh.cast("double")
+    for pattern, _, least in reversed(NUMBERED):
+        out = F.when(F.trim(label).rlike(pattern), F.greatest(F.coalesce(kmh.cast("double"), F.lit(0.0)), F.lit(least))).otherwise(out)
+    return out
+
+
+def reply_count(raw: Column, name: str) -> Column:
+    """The integer attribute (numberMatched, numberReturned) of a feature reply; null where it is none."""
+    return F.regexp_extract(raw, name + r'="(\d+)"', 1).try_cast("long")
+
+
+def labelled(c: Column, width: int) -> Column:
+    """A label cut to width characters, the last one an ellipsis where something was cut."""
+    return F.when(F.length(c) > width, F.concat(F.substring(c, 1, width - 1), F.lit("\u2026"))).otherwise(c)

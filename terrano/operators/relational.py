@@ -96,3 +96,25 @@ def joined_ids(c) -> Column:
 
 def outer_all(frames: Sequence[DataFrame], key: str) -> DataFrame:
     return reduce(lambda a, b: a.join(b, key, "full"), frames)
+
+
+def crosswalk(codes: DataFrame, frame: DataFrame, specials: DataFrame) -> DataFrame:
+    """(src, dst, weight): special mappings first, identity for the rest, weights of a code summing to 1.
+
+    codes: src; frame: dst; specials: src, dst, weight.  Raises ValueError where a code leads nowhere.
+    """
+    src, frame = codes.select("src").where("src IS NOT NULL").distinct(), frame.select("dst").distinct()
+    rest = src.join(specials.select("src"), "src", "left_anti").select("src", F.col("src").alias("dst"), F.lit(1.0).alias("weight"))
+    walk = rest.unionByName(specials.select("src", "dst", F.col("weight").cast("double")).join(src, "src", "left_semi"))
+    lost = walk.join(frame, "dst", "left_anti").select("src").limit(20).collect()
+    if lost:
+        raise ValueError(f"codes without a unit in the frame: {sorted(r.src for r in lost)}")
+    return walk.withColumn("weight", F.col("weight") / F.sum("weight").over(Window.partitionBy("src")))
+
+
+def top_shares(df: DataFrame, key: str, rank: Sequence[Column], weight: str, take: int) -> DataFrame:
+    """The first rows of each key with weights that sum to 1, equal ones where all are zero."""
+    w = Window.partitionBy(key)
+    x = df.withColumn("__k", F.row_number().over(w.orderBy(*rank))).where(F.col("__k") <= take)
+    total = F.sum(weight).over(w)
+    return x.withColumn("share", F.when(total > 0, F.col(weight) / total).otherwise(1 / F.count("*").over(w))).withColumnRenamed("__k", "rank")

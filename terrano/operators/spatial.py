@@ -131,3 +131,34 @@ def clustered(points: DataFrame, k: int, seed: int = 0, rounds: int = 200, start
 
     t = points.schema["key"].dataType.simpleString()
     return points.groupBy("key").applyInPandas(each, f"key {t}, rank long, x double, y double, pop double")
+
+
+def quadtree(points: DataFrame, box: tuple[float, float, float, float], most: int = 60_000, depth: int = 18, side: float = 250.0) -> DataFrame:
+    """(tile, x0, y0, x1, y1, n): leaves of a quadtree over (x, y); a box splits while it holds over `most` points, is above `depth` and wider than `side`.
+
+    Points are counted once, in cells of the deepest level; levels above are sums of their cells, so
+    the plan has no pass over the points for each level.  A point on an inner edge belongs to the upper or right box;
+    points outside the box are left out, empty leaves are not listed.
+    """
+    x0, y0, x1, y1 = box
+    levels = min(depth, max(0, math.ceil(math.log2(max(x1 - x0, y1 - y0) / side)))) if side > 0 else depth
+    n = 1 << levels
+    cell = [F.least(F.floor((F.col(c) - a) / (b - a) * n), F.lit(n - 1)).cast("long").alias(k) for c, a, b, k in (("x", x0, x1, "cx"), ("y", y0, y1, "cy"))]
+    cells = points.where(F.col("x").between(x0, x1) & F.col("y").between(y0, y1)).groupBy(*cell).agg(F.count("*").alias("n"))
+    # a cell's leaf is the shallowest box over it that need not split
+    up = cells.select("cx", "cy", "n", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level"))
+    side_of = F.lit(levels) - F.col("level")
+    boxes = up.groupBy("level", F.expr(f"shiftright(cx, {levels} - level)").alias("bx"), F.expr(f"shiftright(cy, {levels} - level)").alias("by")).agg(F.sum("n").alias("n"))
+    boxes = boxes.withColumn("ok", (F.col("n") <= most) | (side_of == 0))
+    above = boxes.select((F.col("level") + 1).alias("level"), F.col("bx").alias("ux"), F.col("by").alias("uy"), F.col("ok").alias("__up"))
+    leaves = boxes.where("ok").withColumns({"ux": F.expr("shiftright(bx, 1)"), "uy": F.expr("shiftright(by, 1)")}).join(above, ["level", "ux", "uy"], "left").where("__up IS NULL OR NOT __up")
+    w, h = (F.lit(float(d)) / F.pow(F.lit(2.0), F.col("level")) for d in (x1 - x0, y1 - y0))
+    return leaves.select(F.format_string("%d_%d_%d", "level", "bx", "by").alias("tile"), (x0 + F.col("bx") * w).alias("x0"), (y0 + F.col("by") * h).alias("y0"), (x0 + (F.col("bx") + 1) * w).alias("x1"), (y0 + (F.col("by") + 1) * h).alias("y1"), "n")
+
+
+def candidate_wkt(df: DataFrame, key: str) -> DataFrame:
+    """(key, n, wkt): the candidates (cand_rank, x, y) of a unit, in rank order, as a point or multipoint."""
+    one = F.format_string("%.1f %.1f", "x", "y")
+    x = df.groupBy(key).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("cand_rank", one.alias("p")))).alias("c"))
+    listed = F.array_join(F.transform("c", lambda c: F.concat(F.lit("("), c["p"], F.lit(")"))), ", ")
+    return x.select(key, "n", F.when(F.col("n") == 1, F.concat(F.lit("POINT ("), F.col("c")[0]["p"], F.lit(")"))).otherwise(F.concat(F.lit("MULTIPOINT ("), listed, F.lit(")"))).alias("wkt"))

@@ -90,3 +90,80 @@ def growth_factor(df: DataFrame, year: str, value: str, base: int, target: int)
     years = sorted(y for y in m if y <= base)[-4:]
     rate = (m[years[-1]] / m[years[0]]) ** (1 / (years[-1] - years[0])) if len(years) > 1 else 1.0
     return rate ** (target - base)
+
+
+def speed_profile(ways: DataFrame, defaults: DataFrame, least_m: float = 30_000.0) -> DataFrame:
+    """(road, urban, kmh): length-weighted median of tagged speeds, to the next 5 km/h (half to even), default where too little is tagged.
+
+    ways: road, urban, kmh (null: untagged), metres; defaults: road, urban, kmh.
+    """
+    tagged = ways.where("kmh IS NOT NULL")
+    keys = ["road", "urban"]
+    found = weighted_median(tagged, keys, "kmh", "metres").join(tagged.groupBy(*keys).agg(F.sum("metres").alias("__m")), keys).where(F.col("__m") >= least_m)
+    own = F.bround(F.col("weighted_median") / 5) * 5
+    return defaults.join(found, keys, "left").select(*keys, F.coalesce(own, F.col("kmh")).cast("double").alias("kmh"), F.col("weighted_median").isNotNull().alias("measured"))
+
+
+def calibration_factor(df: DataFrame, key: str, ratio: str, least: int = 100, lo: float = 0.3, hi: float = 1.2, fallback: float = 1.0) -> DataFrame:
+    """(key, n, k): median ratio of a group with enough ratios strictly inside lo..hi, else the one over all groups, else the fallback."""
+    ok = df.where((F.col(ratio) > lo) & (F.col(ratio) < hi) & ~F.isnan(ratio))
+    per = ok.groupBy(key).agg(F.count("*").alias("n"), F.median(ratio).alias("__m"))
+    whole = ok.agg(F.when(F.count("*") >= least, F.median(ratio)).alias("__all"))
+    out = df.select(key).distinct().join(per, key, "left").crossJoin(F.broadcast(whole))  # one row
+    return out.select(key, F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce(F.when(F.col("n") >= least, F.col("__m")), F.col("__all"), F.lit(fallback)).alias("k"))
+
+
+def extrapolated(anchor: DataFrame, growth: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
+    """Values scaled by the growth (key, growth) of their group; groups without one grow as the median group."""
+    mid = growth.agg(F.median("growth").alias("__mid"))
+    x = anchor.join(growth, key, "left").crossJoin(F.broadcast(mid)).withColumn("__g", F.coalesce("growth", "__mid", F.lit(1.0)))
+    return x.withColumns({v: F.col(v) * F.col("__g") for v in values}).drop("growth", "__mid", "__g")
+
+
+def diverging_limits(df: DataFrame, value: str) -> DataFrame:
+    """(lo, hi): limits of equal size about zero, 1 where all values are zero or missing."""
+    top = F.max(F.when(~F.isnan(value), F.abs(value)))
+    return df.agg(F.coalesce(F.when(top > 0, top), F.lit(1.0)).alias("hi")).select((-F.col("hi")).alias("lo"), "hi")
+
+
+#: Distinct values up to which natural breaks are sought in one task; beyond, values are first merged into so many bins.
+BREAK_VALUES = 4096
+
+
+def natural_breaks(df: DataFrame, value: str, k: int = 7) -> DataFrame:
+    """(class, upper, n): classes with the least squared deviation from their means (Fisher-Jenks), exact up to about BREAK_VALUES distinct values.
+
+    More values are merged into BREAK_VALUES equal-width bins, each with its sums, before the one task that
+    places the breaks, so that it never gets more than so many rows.  Null and NaN are left out.
+    """
+    x = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(F.col(value).cast("double").alias("v"))
+    span = x.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.approx_count_distinct("v", 0.01).alias("d"))
+    # the estimate only chooses the form; its error is allowed for
+    at = F.when(F.col("d") <= 0.95 * BREAK_VALUES, F.col("v")).otherwise(F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BREAK_VALUES), F.lit(BREAK_VALUES - 1)).cast("double"))
+    bins = x.crossJoin(F.broadcast(span)).groupBy(at.alias("at")).agg(F.count("*").alias("n"), F.avg("v").alias("m"), (F.var_pop("v") * F.count("*")).alias("q"), F.max("v").alias("top"))
+
+    def place(pdf):
+        import numpy as np
+        import pandas as pd
+
+        pdf = pdf.sort_values("at")
+        n, m, q = (pdf[c].to_numpy(float) for c in ("n", "m", "q"))
+        m = m - np.average(m, weights=n)
+        cn, cs, cq = (np.concatenate([[0], np.cumsum(a)]) for a in (n, n * m, q + n * m * m))
+        size, classes = len(n), min(k, len(n))
+        best, cut = np.concatenate([[0], np.full(size, np.inf)]), np.zeros((classes + 1, size + 1), dtype=int)
+        for c in range(1, classes + 1):
+            new = np.full(size + 1, np.inf)
+            for j in range(c, size + 1):
+                i = np.arange(c - 1, j)
+                cost = best[i] + (cq[j] - cq[i]) - (cs[j] - cs[i]) ** 2 / (cn[j] - cn[i])
+                pick = int(cost.argmin())
+                new[j], cut[c, j] = cost[pick], i[pick]
+            best = new
+        ends, j = [], size
+        for c in range(classes, 0, -1):
+            ends.append((c, float(pdf["top"].iloc[j - 1]), int(cn[j] - cn[cut[c, j]])))
+            j = cut[c, j]
+        return pd.DataFrame(ends[::-1], columns=["class", "upper", "n"])
+
+    return bins.withColumn("one", F.lit("")).groupBy("one").applyInPandas(place, "class int, upper double, n long")
