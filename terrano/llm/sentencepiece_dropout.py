@@ -2,14 +2,17 @@
 
 Merge-type (BPE) segmentation: symbols start as characters, and an agenda joins the adjacent pair
 whose union is the best piece, leftmost first, until none is left.  With dropout p each
-candidate merge is skipped if a keyed hash of (seed, variant, unit, left start, middle, right end)
-falls below p, so a text's segmentation depends on nothing but the key: reruns agree, other
-seeds or variants differ.  Characters without a piece become byte pieces, and so does a literal
-U+2581, so decoding gives every text back.
+candidate merge is skipped if a keyed hash of (seed, document id and text, repetition, place of the
+unit in the text, left start, middle, right end) falls below p, so every occurrence of a word is
+cut on its own, and rows that repeat a document are cut anew; reruns agree, other seeds differ.
+Characters without a piece become byte pieces, and so does a literal U+2581, so decoding gives
+every text back.
 
 A unit is a run of spaces with the characters up to the next space or line end; no piece of
-the model reaches across units (checked on loading), so units are segmented on their own, all
-new ones of a batch at once with numpy, and remembered in bounded tables.
+the model reaches across units (checked on loading), so units are segmented on their own.  What
+is remembered of a unit holds for every key: the tree of its agenda, with a node for each candidate
+met and a branch for keeping and for skipping it.  All occurrences of a batch walk their trees at
+once with numpy, and only branches that nobody took before are segmented.
 """
 
 from __future__ import annotations
@@ -24,25 +27,29 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import prepare
-from .textvec import mix
+from .common import freed, prepare
+from .textvec import _mix_scalar, mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 29
-#: Documents are dealt over so many variants by id; each variant has its own segmentations.
-VARIANTS = 3
-#: Units remembered for each variant and worker.
-MEMORY = 350_000
-#: Documents whose new units are segmented together.
+#: Units, nodes of their trees and token ids that a worker remembers; beyond any of them it starts afresh.
+MEMORY = 1_000_000
+NODES = 8_000_000
+TOKENS = 12_000_000
+#: Documents whose units walk their trees together.
 STEP = 500
-#: Longer units take the agenda one by one instead of in step with others.
+#: Longer units take the agenda one by one and are not remembered.
 LONG = 48
 MARK = "▁"
 UNIT = re.compile(f"{MARK}+[^{MARK}\\n]*|\\n|[^{MARK}\\n]+")
 _U = np.uint64
 _NONE = np.iinfo(np.int64).max
+_BAD = -(1 << 60)
+_MASK = 2**64 - 1
+_START, _MIDDLE, _END = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 
 
 class Vocabulary:
@@ -77,14 +84,6 @@ class Vocabulary:
                 if a is not None and b is not None:
                     pairs[a * self.size + b] = int(self.rank[i])
         self.pairs = pairs
-        self.keys = np.array(sorted(pairs), dtype=np.int64)
-        self.values = np.array([pairs[k] for k in self.keys.tolist()], dtype=np.int64)
-
-    def union(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Ranks of the unions of two runs of symbols; _NONE without a piece."""
-        key = np.where((a < 0) | (b < 0), -1, a * self.size + b)
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.values[at], _NONE)
 
 
 @lru_cache(maxsize=4)
@@ -93,14 +92,17 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 def unit_key(seed: int, variant: int, unit: str) -> int:
-    """The keyed hash of a unit, from which its merges are skipped."""
+    """A key for a unit that stands outside any document."""
     return int.from_bytes(blake2b(unit.encode("utf-8", "surrogatepass"), digest_size=8, key=b"%d %d" % (seed, variant)).digest(), "little")
 
 
-def _skipped(key, start, middle, end, p: float):
-    """Whether the keyed hash skips a candidate; arrays or plain integers as arrays."""
-    h = mix(key ^ (start.astype(_U) * _U(0x9E3779B97F4A7C15) + middle.astype(_U) * _U(0xC2B2AE3D27D4EB4F) + end.astype(_U) * _U(0x165667B19E3779F9)))
-    return (h >> _U(11)).astype(np.float64) < p * 2.0**53
+def _skipped(key: int, span: int, p: float) -> bool:
+    """Whether the keyed hash skips the candidate of a span; Forest.leaves() does the same on arrays."""
+    return _mix_scalar(key ^ span) >> 11 < p * 2.0**53
+
+
+def _span(start: int, middle: int, end: int) -> int:
+    return (start * _START + middle * _MIDDLE + end * _END) & _MASK
 
 
 def segment_agenda(v: Vocabulary, unit: str, key: int, p: float) -> list[int]:
@@ -120,13 +122,12 @@ def segment_agenda(v: Vocabulary, unit: str, key: int, p: float) -> list[int]:
     for a in range(len(unit) - 1):
         offer(a)
     alive = [True] * len(unit)
-    one = lambda x: np.array([x], dtype=np.int64)
     while heap:
         r, a, m, e = heapq.heappop(heap)
         b = right[a] if alive[a] else len(unit)
         if not alive[a] or end[a] != m or b >= len(unit) or end[b] != e:
             continue
-        if p > 0 and _skipped(np.array([key], _U), one(a), one(m), one(e), p)[0]:
+        if p > 0 and _skipped(key, _span(a, m, e), p):
             continue
         sym[a], end[a], alive[b] = int(v.by_rank[r]), e, False
         right[a] = right[b]
@@ -141,91 +142,135 @@ def segment_agenda(v: Vocabulary, unit: str, key: int, p: float) -> list[int]:
     return out
 
 
+class Forest:
+    """The agendas of units as trees: a node is a candidate, its branches keep or skip it, a leaf holds ids.
+
+    In keep, drop and root a number from 0 is a node, -1 is not known yet, and -2 - k is leaf k.
+    """
+
+    def __init__(self, v: Vocabulary, p: float):
+        self.v, self.p = v, p
+        self.joined = v.by_rank.tolist()
+        self.clear()
+
+    def clear(self) -> None:
+        self.root: dict[str, int] = {}
+        self.span, self.keep, self.drop = array("Q"), array("i"), array("i")
+        self.ids, self.off = array("i"), array("q", [0])
+
+    def full(self) -> bool:
+        return len(self.root) > MEMORY or len(self.span) > NODES or len(self.ids) > TOKENS
+
+    def leaf(self, ids: list[int]) -> int:
+        self.ids.extend(ids)
+        self.off.append(len(self.ids))
+        return -len(self.off)
+
+    def grow(self, unit: str, key: int) -> None:
+        """Adds what is missing on the way of one unit under one key."""
+        v, span, keep, drop, pair = self.v, self.span, self.keep, self.drop, self.v.pairs.get
+        size, joined, below, known = v.size, self.joined, self.p * 2.0**53, v.ids.get
+        sym = [known(c, _BAD) for c in unit]
+        start = list(range(len(sym) + 1))
+        ranks = [pair(a * size + b, _NONE) for a, b in zip(sym, sym[1:], strict=False)]
+        branch, at, node = None, 0, self.root.get(unit, -1)
+        while ranks and (r := min(ranks)) != _NONE:
+            i = ranks.index(r)
+            if node == -1:
+                node = len(span)
+                span.append((start[i] * _START + start[i + 1] * _MIDDLE + start[i + 2] * _END) & _MASK)
+                keep.append(-1)
+                drop.append(-1)
+                if branch is None:
+                    self.root[unit] = node
+                else:
+                    branch[at] = node
+            # _skipped() written out, as this is the inner loop
+            h = key ^ span[node]
+            h = (h ^ (h >> 30)) * 0xBF58476D1CE4E5B9 & _MASK
+            h = (h ^ (h >> 27)) * 0x94D049BB133111EB & _MASK
+            if (h ^ (h >> 31)) >> 11 < below:
+                ranks[i] = _NONE
+                branch = drop
+            else:
+                sym[i] = c = joined[r]
+                del sym[i + 1], start[i + 1], ranks[i]
+                if i < len(ranks):
+                    ranks[i] = pair(c * size + sym[i + 1], _NONE)
+                if i:
+                    ranks[i - 1] = pair(sym[i - 1] * size + c, _NONE)
+                branch = keep
+            at, node = node, branch[node]
+        if node == -1:
+            found = []
+            for x, a in zip(sym, start, strict=False):
+                found += [x] if x >= 0 else [v.bytes[y] for y in unit[a].encode("utf-8", "surrogatepass")]
+            if branch is None:
+                self.root[unit] = self.leaf(found)
+            else:
+                branch[at] = self.leaf(found)
+
+    def leaves(self, units: list[str], keys: np.ndarray) -> np.ndarray:
+        """The leaf of each unit under its key."""
+        root = self.root
+        at = np.array([root.get(u, -1) for u in units], dtype=np.int64)
+        for i in np.flatnonzero(at == -1).tolist():
+            u = units[i]
+            if len(u) > LONG:
+                at[i] = self.leaf(segment_agenda(self.v, u, int(keys[i]), self.p))
+                continue
+            if u not in root:
+                self.grow(u, int(keys[i]))
+            at[i] = root[u]
+        todo = np.flatnonzero(at >= 0)
+        while len(todo):
+            span, keep, drop = np.frombuffer(self.span, dtype=_U), np.frombuffer(self.keep, dtype=np.int32), np.frombuffer(self.drop, dtype=np.int32)
+            here, stuck, edges = at[todo], [], []
+            while len(todo):
+                skip = (mix(keys[todo] ^ span[here]) >> _U(11)).astype(np.float64) < self.p * 2.0**53
+                to = np.where(skip, drop[here], keep[here])
+                new = to == -1
+                if new.any():
+                    stuck.append(todo[new])
+                    edges.append(here[new] * 2 + skip[new])
+                    at[todo[new]] = here[new]
+                end = to < -1
+                at[todo[end]] = to[end]
+                go = to >= 0
+                todo, here = todo[go], to[go]
+            del span, keep, drop  # the tables cannot grow under a view
+            if stuck:
+                todo = np.concatenate(stuck)
+                for i in todo[np.unique(np.concatenate(edges), return_index=True)[1]].tolist():
+                    self.grow(units[i], int(keys[i]))
+        return -2 - at
+
+    def tokens(self, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of leaves one after the other, and how many each has."""
+        off, ids = np.frombuffer(self.off, dtype=np.int64), np.frombuffer(self.ids, dtype=np.int32)
+        size = off[leaves + 1] - off[leaves]
+        first = np.cumsum(size) - size
+        return ids[np.repeat(off[leaves] - first, size) + np.arange(int(size.sum()))], size
+
+
 def segment_many(v: Vocabulary, units: list[str], keys: list[int], p: float) -> list[list[int]]:
-    """segment_agenda() of many units at once: each step takes every unit's best candidate."""
-    long_ = [i for i, u in enumerate(units) if len(u) > LONG]
-    if long_:
-        out: list = [None] * len(units)
-        short = [i for i, u in enumerate(units) if len(u) <= LONG]
-        for i, x in zip(short, segment_many(v, [units[i] for i in short], [keys[i] for i in short], p), strict=True):
-            out[i] = x
-        for i in long_:
-            out[i] = segment_agenda(v, units[i], keys[i], p)
-        return out
-    if not units:
-        return []
-    n = np.array([len(u) for u in units])
-    own = np.repeat(np.arange(len(units)), n)
-    chars = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype="<u4")
-    known, at = np.unique(chars, return_inverse=True)
-    sym = np.array([v.ids.get(chr(c), -1) for c in known.tolist()], dtype=np.int64)[at]
-    first = np.cumsum(n) - n
-    start = np.arange(len(own)) - first[own]
-    end = start + 1
-    where = np.arange(len(own))  # the character that a symbol starts with
-    key = np.array(keys, dtype=_U)
-    done_sym, done_at, done_end = [], [], []
-
-    def candidates(i):
-        """Ranks of symbol i with the next one."""
-        j = i + 1
-        same = own[np.minimum(j, len(own) - 1)] == own[i]
-        same &= j < len(own)
-        j = np.minimum(j, len(own) - 1)
-        r = np.where(same, v.union(sym[i], sym[j]), _NONE)
-        if p > 0:
-            hit = np.flatnonzero(r != _NONE)
-            skip = _skipped(key[own[i[hit]]], start[i[hit]], end[i[hit]], end[j[hit]], p)
-            r[hit[skip]] = _NONE
-        return r
-
-    best = candidates(np.arange(len(own)))
-    while len(own):
-        head = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-        low = np.minimum.reduceat(best, head)
-        size = np.diff(np.concatenate((head, [len(own)])))
-        over = np.repeat(low == _NONE, size)
-        if over.any():
-            done_sym.append(sym[over])
-            done_at.append(where[over])
-            live = ~over
-            own, sym, start, end, where, best = own[live], sym[live], start[live], end[live], where[live], best[live]
-            if not len(own):
-                break
-            size, low = size[low != _NONE], low[low != _NONE]
-        hit = np.flatnonzero(best == np.repeat(low, size))
-        hit = hit[np.concatenate(([True], own[hit][1:] != own[hit][:-1]))]  # the leftmost of each unit
-        sym[hit] = v.by_rank[best[hit]]
-        end[hit] = end[hit + 1]
-        live = np.ones(len(own), dtype=bool)
-        live[hit + 1] = False
-        moved = hit - np.arange(len(hit))  # one symbol of each earlier unit is gone
-        own, sym, start, end, where, best = own[live], sym[live], start[live], end[live], where[live], best[live]
-        best[moved] = candidates(moved)
-        before = moved[(moved > 0)]
-        before = before[own[before - 1] == own[before]] - 1
-        best[before] = candidates(before)
-    sym, at = np.concatenate(done_sym), np.concatenate(done_at)
-    o = np.argsort(at)
-    sym, at = sym[o], at[o]
-    bound = np.searchsorted(at, np.concatenate((first, [len(chars)])))
-    whole = sym.tolist()
-    out = []
-    bad = set(np.repeat(np.arange(len(units)), n)[at[sym < 0]].tolist())
-    for i in range(len(units)):
-        ids = whole[bound[i] : bound[i + 1]]
-        if i in bad:
-            ids = [y for x, c in zip(ids, at[bound[i] : bound[i + 1]].tolist(), strict=True) for y in ([x] if x >= 0 else [v.bytes[b] for b in chr(chars[c]).encode("utf-8", "surrogatepass")])]
-        out.append(ids)
-    return out
+    """segment_agenda() of many units at once."""
+    forest = Forest(v, p)
+    ids, size = forest.tokens(forest.leaves(units, np.array(keys, dtype=_U)))
+    return [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])] if units else []
+
+
+@lru_cache(maxsize=2)
+def forest(path: str, p: float) -> Forest:
+    """Trees hold for any document, so the tasks of a worker share them."""
+    return Forest(vocabulary(path), p)
 
 
 class Encoder:
-    """Encodes and decodes texts; remembers a bounded number of units for each variant."""
+    """Encodes and decodes texts."""
 
-    def __init__(self, path: str = MODEL, dropout: float = DROPOUT, seed: int = SEED):
-        self.v, self.p, self.seed = vocabulary(path), dropout, seed
-        self.seen: dict[int, dict[str, bytes]] = {}
+    def __init__(self, path: str = MODEL, dropout: float = DROPOUT):
+        self.v, self.forest = vocabulary(path), forest(path, dropout)
 
     def units(self, text: str) -> list[str]:
         # a literal mark has no piece here: it stands as a private character of its own unit
@@ -236,20 +281,19 @@ class Encoder:
             out += UNIT.findall(x.replace(" ", MARK))
         return out
 
-    def encode(self, texts: list[str], variants: list[int]) -> list[np.ndarray]:
-        """Ids of each text under its variant."""
+    def encode(self, texts: list[str], keys) -> list[np.ndarray]:
+        """Ids of each text; keys are those of the rows, from which each place in a text has its own."""
+        f = self.forest
+        if f.full():
+            f.clear()
+        f.root["\0" + MARK] = f.root.get("\0" + MARK) or f.leaf([self.v.bytes[b] for b in MARK.encode()])
         split = [self.units(x) for x in texts]
-        for k in set(variants):
-            seen = self.seen.setdefault(k, {})
-            if len(seen) > MEMORY:
-                seen.clear()
-            new = list({u for x, w in zip(split, variants, strict=True) if w == k for u in x if u not in seen})
-            plain = [u for u in new if u[0] != "\0"]
-            for u, ids in zip(plain, segment_many(self.v, plain, [unit_key(self.seed, k, u) for u in plain], self.p), strict=True):
-                seen[u] = array("i", ids).tobytes()
-            if len(plain) < len(new):
-                seen["\0" + MARK] = np.array([self.v.bytes[b] for b in MARK.encode()], dtype="<i4").tobytes()
-        return [np.frombuffer(b"".join([self.seen[k][u] for u in x]), dtype="<i4") for x, k in zip(split, variants, strict=True)]
+        n = np.array([len(x) for x in split], dtype=np.int64)
+        place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        own = mix(np.repeat(np.asarray(keys).astype(_U), n) + (place + 1).astype(_U) * _U(_START))
+        ids, size = f.tokens(f.leaves([u for x in split for u in x], own))
+        ends = np.concatenate(([0], np.cumsum(size)))[np.cumsum(n)]
+        return np.split(ids, ends[:-1]) if texts else []
 
     def decode(self, ids) -> str:
         out = self.v.out
@@ -259,26 +303,32 @@ class Encoder:
 def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = MODEL, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """One row per input row: doc_id, variant, ids, n_tokens, lossless (whether decoding gives the text back).
 
-    Null and empty texts have no ids.  The variant follows from seed and id alone (0 for a null
-    id), so repeated rows are alike.  path is read by every executor.
+    Null and empty texts have no ids.  variant numbers the rows of equal id and text, and each has its
+    own segmentation.  Only if an id repeats are rows dealt out to number them.  path is read by every executor.
     """
     prepare(docs.sparkSession)
-    variant = F.coalesce(F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(VARIANTS)), F.lit(0)).cast("int")
+    variant = F.lit(0)
+    if docs.groupBy(id_col).count().where("count > 1").take(1):
+        freed(docs.sparkSession)  # dealing out the texts takes room
+        text = F.xxhash64(F.col(text_col))
+        variant = F.row_number().over(Window.partitionBy(id_col, text).orderBy(text)) - 1  # rows of one window are alike: any order will do
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), variant.alias("variant"), F.col(text_col).alias("text"))
+    rows = rows.withColumn("key", F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text"), "variant"))
 
     def each(it):
-        e = Encoder(path, dropout, seed)
+        e = Encoder(path, dropout)
         for b in it:
             for a in range(0, b.num_rows, STEP):
                 part = b.slice(a, STEP)
                 texts = [x or "" for x in part.column(2).to_pylist()]
-                ids = e.encode(texts, part.column(1).to_pylist())
+                ids = e.encode(texts, part.column(3).to_numpy())
                 same = [e.decode(x.tolist()) == t for x, t in zip(ids, texts, strict=True)]
                 off = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).cast(pa.int64()), part.column(1), pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())), pa.array(np.diff(off), pa.int32()), pa.array(same, pa.bool_())],
+                    [part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())), pa.array(np.diff(off), pa.int32()), pa.array(same, pa.bool_())],
                     names=["doc_id", "variant", "ids", "n_tokens", "lossless"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), variant.alias("variant"), text_col).mapInArrow(each, "doc_id long, variant int, ids array<int>, n_tokens int, lossless boolean")
+    return rows.mapInArrow(each, "doc_id long, variant int, ids array<int>, n_tokens int, lossless boolean")
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
