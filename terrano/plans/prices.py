@@ -167,11 +167,21 @@ def count_pivot(t):
 @query("SELECT CAST(o_custkey AS VARCHAR) AS kod, o_orderstatus AS status, CAST(year(o_orderdate) AS VARCHAR) AS year, round(sum(o_totalprice), 4) AS value FROM orders WHERE o_custkey <= 100 GROUP BY 1, 2, 3")
 def wide_round_trip(t):
     """Dimension-coded columns and back."""
-    x = t.orders.where("o_custkey <= 100").withColumn("h", F.concat_ws(";", "o_orderstatus", F.year("o_orderdate")))
+    return _round_trip(t.orders.where("o_custkey <= 100"))
+
+
+def _round_trip(orders):
+    x = orders.withColumn("h", F.concat_ws(";", "o_orderstatus", F.year("o_orderdate")))
     wide = x.groupBy(F.col("o_custkey").cast("string").alias("kod")).pivot("h").agg(F.sum("o_totalprice"))
     return relational.melted(wide, ["kod"], ["status", "year"]).where("value IS NOT NULL").withColumn("value", F.round("value", 4))
 
 
+@query("SELECT CAST(o_custkey AS VARCHAR) AS kod, o_orderstatus AS status, CAST(year(o_orderdate) AS VARCHAR) AS year, round(sum(o_totalprice), 4) AS value FROM orders GROUP BY 1, 2, 3")
+def wide_round_trip_whole(t):
+    """wide_round_trip, whose SQL has the first customers only, for all of them."""
+    return _round_trip(t.orders)
+
+
 @query("""WITH m AS (SELECT c_custkey, c_nationkey, c_acctbal, rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC) AS rk, (c_acctbal - avg(c_acctbal) OVER ()) / stddev_samp(c_acctbal) OVER () AS z FROM customer)
 SELECT c_custkey, rk, round(z, 6) AS z FROM m""")
 def ranks_and_scores(t):
@@ -207,6 +217,12 @@ def latest_earlier_year(t):
     return relational.for_year(x, "y", 2000).where("o_orderkey % 10 = 0").select("o_orderkey", "y")
 
 
+@query("SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y FROM orders WHERE year(o_orderdate) = (SELECT coalesce(max(year(o_orderdate)) FILTER (year(o_orderdate) <= 2000), min(year(o_orderdate))) FROM orders)")
+def latest_earlier_year_whole(t):
+    """latest_earlier_year, whose SQL has every tenth order only, for all of them."""
+    return relational.for_year(t.orders.withColumn("y", F.year("o_orderdate")), "y", 2000).select("o_orderkey", "y")
+
+
 @query(f"""WITH {MICRO_SQL}, m AS (SELECT area_code, ln(ppm2) AS y, ln(area) AS x FROM micro),
 d AS (SELECT area_code, y, x, y - avg(y) OVER (PARTITION BY area_code) AS yd, x - avg(x) OVER (PARTITION BY area_code) AS xd FROM m),
 b AS (SELECT sum(xd * yd) / (sum(xd * xd) + 1e-6) AS b FROM d)
