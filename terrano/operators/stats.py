@@ -126,44 +126,48 @@ def diverging_limits(df: DataFrame, value: str) -> DataFrame:
     return df.agg(F.coalesce(F.when(top > 0, top), F.lit(1.0)).alias("hi")).select((-F.col("hi")).alias("lo"), "hi")
 
 
-#: Distinct values up to which natural breaks are sought in one task; beyond, values are first merged into so many bins.
-BREAK_VALUES = 4096
-
-
 def natural_breaks(df: DataFrame, value: str, k: int = 7) -> DataFrame:
-    """(class, upper, n): classes with the least squared deviation from their means (Fisher-Jenks), exact up to about BREAK_VALUES distinct values.
+    """(class, upper, n): classes with the least squared deviation from their means (Fisher-Jenks), exact for any number of values.
 
-    More values are merged into BREAK_VALUES equal-width bins, each with its sums, before the one task that
-    places the breaks, so that it never gets more than so many rows.  Null and NaN are left out.
+    Equal values are counted first; one task gets the distinct ones and places the breaks in O(k d log d), as
+    the best last break never moves back when values are added.  Null and NaN are left out.
     """
     x = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(F.col(value).cast("double").alias("v"))
-    span = x.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.approx_count_distinct("v", 0.01).alias("d"))
-    # the estimate only chooses the form; its error is allowed for
-    at = F.when(F.col("d") <= 0.95 * BREAK_VALUES, F.col("v")).otherwise(F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BREAK_VALUES), F.lit(BREAK_VALUES - 1)).cast("double"))
-    bins = x.crossJoin(F.broadcast(span)).groupBy(at.alias("at")).agg(F.count("*").alias("n"), F.avg("v").alias("m"), (F.var_pop("v") * F.count("*")).alias("q"), F.max("v").alias("top"))
+    counts = x.groupBy("v").agg(F.count("*").alias("n"))
 
     def place(pdf):
         import numpy as np
         import pandas as pd
 
-        pdf = pdf.sort_values("at")
-        n, m, q = (pdf[c].to_numpy(float) for c in ("n", "m", "q"))
-        m = m - np.average(m, weights=n)
-        cn, cs, cq = (np.concatenate([[0], np.cumsum(a)]) for a in (n, n * m, q + n * m * m))
+        pdf = pdf.sort_values("v")
+        n, v = pdf["n"].to_numpy(float), pdf["v"].to_numpy(float)
+        m = v - np.average(v, weights=n)
+        cn, cs, cq = (np.concatenate([[0], np.cumsum(a)]) for a in (n, n * m, n * m * m))
         size, classes = len(n), min(k, len(n))
         best, cut = np.concatenate([[0], np.full(size, np.inf)]), np.zeros((classes + 1, size + 1), dtype=int)
         for c in range(1, classes + 1):
             new = np.full(size + 1, np.inf)
-            for j in range(c, size + 1):
-                i = np.arange(c - 1, j)
+            # all j of jl..jr, whose best break lies in il..ir: the middle one is settled and halves the rest
+            jl, jr, il, ir = (np.array([a]) for a in (c, size, c - 1, size - 1))
+            while len(jl):
+                mid = (jl + jr) // 2
+                many = np.minimum(ir, mid - 1) - il + 1
+                first = np.cumsum(many) - many
+                own = np.repeat(np.arange(len(mid)), many)
+                i, j = np.arange(len(own)) - first[own] + il[own], mid[own]
                 cost = best[i] + (cq[j] - cq[i]) - (cs[j] - cs[i]) ** 2 / (cn[j] - cn[i])
-                pick = int(cost.argmin())
-                new[j], cut[c, j] = cost[pick], i[pick]
+                low = np.minimum.reduceat(cost, first)
+                hit = np.flatnonzero(cost == low[own])
+                pick = i[hit[np.unique(own[hit], return_index=True)[1]]]
+                new[mid], cut[c, mid] = low, pick
+                jl, jr, il, ir = (np.concatenate(a) for a in ((jl, mid + 1), (mid - 1, jr), (il, pick), (pick, ir)))
+                live = jl <= jr
+                jl, jr, il, ir = jl[live], jr[live], il[live], ir[live]
             best = new
         ends, j = [], size
         for c in range(classes, 0, -1):
-            ends.append((c, float(pdf["top"].iloc[j - 1]), int(cn[j] - cn[cut[c, j]])))
+            ends.append((c, float(v[j - 1]), int(cn[j] - cn[cut[c, j]])))
             j = cut[c, j]
         return pd.DataFrame(ends[::-1], columns=["class", "upper", "n"])
 
-    return bins.withColumn("one", F.lit("")).groupBy("one").applyInPandas(place, "class int, upper double, n long")
+    return counts.withColumn("one", F.lit("")).groupBy("one").applyInPandas(place, "class int, upper double, n long")
