@@ -15,6 +15,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -203,7 +204,8 @@ def features(root: Node, texts: list[tuple[Node, str]]) -> tuple[list[Node], np.
             rows[kids, 8] = np.log1p(np.concatenate((k[1:], [0])))
             rows[kids, 9] = k / max(k.max(), 1)
             same = [c.tag for c in n.children]
-            rows[kids, 10] = [same.count(t) / len(same) for t in same] if len(same) < 200 else 1.0
+            of = Counter(same)
+            rows[kids, 10] = [of[t] / len(same) for t in same]
     text, punct, word, link, tag, paras = deep.T
     rows[:, 11] = np.log1p(text)
     rows[:, 12] = link / np.maximum(text, 1)
