@@ -39,10 +39,28 @@ def test_repeated_rows_vary(spark):
 
 def test_frequent_units_against_the_agenda():
     v, r = s.vocabulary(s.MODEL), random.Random(5)
-    units = [r.choice(["▁the", "▁understanding", "a☃b", "▁" + "x" * 60, "▁▁▁"]) for _ in range(3000)]
+    odd = ["".join(r.choices("abcdeé☃ñ日\U0001f600x", k=r.randint(1, 60))) for _ in range(400)]
+    units = [r.choice(["▁the", "▁understanding", "a☃b", "▁" + "x" * 60, "▁▁▁", *odd]) for _ in range(3000)]
     keys = [r.getrandbits(64) for _ in units]
-    forest = s.Forest(v, 0.2)
-    for a in (0, 1500):  # the second half meets trees that are grown already
-        ids, size = forest.tokens(forest.leaves(units[a : a + 1500], np.array(keys[a : a + 1500], dtype=np.uint64)))
-        got = [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])]
-        assert got == [s.segment_agenda(v, u, k, 0.2) for u, k in zip(units[a : a + 1500], keys[a : a + 1500], strict=True)]
+    for p in (0.0, 0.2, 0.9):
+        memory = s.Memory(v, p)
+        for a in (0, 1500):  # the second half meets units that are remembered already
+            ids, size = memory.segmented(units[a : a + 1500], np.array(keys[a : a + 1500], dtype=np.uint64))
+            got = [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])]
+            assert got == [s.segment_agenda(v, u, k, p) for u, k in zip(units[a : a + 1500], keys[a : a + 1500], strict=True)]
+
+
+def test_rate_of_dropout():
+    """A merge without alternatives is skipped as often as dropout says, and each occurrence on its own."""
+    v = s.vocabulary(s.MODEL)
+    units = ["▁a"] * 20_000
+    ids, size = s.Memory(v, 0.1).segmented(units, s.mix(np.arange(20_000, dtype=np.uint64)))
+    assert abs((size == 2).mean() - 0.1) < 0.01
+
+
+def test_pair_table():
+    v, r = s.vocabulary(s.MODEL), random.Random(3)
+    pairs = [divmod(k, v.size) for k in r.sample(list(v.pairs), 5000)] + [(r.randrange(v.size), r.randrange(v.size)) for _ in range(5000)] + [(-1, 5), (5, -1)]
+    a, b = (np.array(x) for x in zip(*pairs, strict=True))
+    want = [v.pairs.get(x * v.size + y, s._NONE) if x >= 0 and y >= 0 else s._NONE for x, y in pairs]
+    assert v.ranks(a, b).tolist() == want
