@@ -10,12 +10,17 @@ lower bound of the Hamming distance from how both sets fall into the parts of a
 halving of the n-gram space: by parities in the join itself, then by counts) before its sets are fetched and it is verified, once.
 
 The result is the components of the links, not all links, so groups of near copies need not be
-expanded: equal sets are one class from the start; then rounds join the classes of a posting list
-with one leader of the list (the class that shares most of its prefix, usually the text that
-the others were made from), and merge what links.  At last every remaining pair of classes that
-share a prefix n-gram and lie in different components is verified, so no link that would join
-two components is lost; a run of consecutive shared n-grams, as a common passage makes, gives
-the pair once, at its first.  Rounds repeat while they merge and the remaining pairs are many.
+expanded: equal sets are one class from the start (two 64-bit keys agree); then rounds join the
+classes of a posting list with one leader of the list (the class that shares most of its prefix,
+usually the text that the others were made from), and merge what links.  At last every remaining
+pair of classes that share a prefix n-gram and lie in different components is verified, so no link
+that would join two components is lost; a run of consecutive shared n-grams, as a common passage
+makes, gives the pair once, at its first.  Rounds repeat while they merge and the remaining pairs are many.
+
+Sketches cannot tell how rare an n-gram is once the input outgrows them, and a passage that many
+unlike texts share would pair all of them.  So before the last round the posting lists themselves,
+which are exact, correct the order: n-grams whose list joins CROWD components or more go to the end of
+it, and the prefixes of all classes that hold one are taken anew.
 """
 
 from __future__ import annotations
@@ -23,14 +28,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BLOCK_SCHEMA, emit_blocks, forget, freed, is_member, member_bits, prepare, stored, sum_blocks
+from .common import BLOCK_SCHEMA, emit_blocks, empty_to_string, forget, freed, is_member, member_bits, prepare, stored, sum_blocks
 from .components import components
-from .textvec import mix, shingle_sets, word_counts
+from .textvec import chunks, mix, shingle_sets, windows, word_hashes, words
+from .textvec import LOWER as LOW
 
 #: log2 of the counters of the rarity sketches: n-grams (16 MB) and words (4 MB).
 SKETCH, WORD_SKETCH = 22, 20
@@ -39,6 +46,8 @@ PARTS = 128
 LONGS = 8
 PARITY = [f"q{i}" for i in range(LONGS)]
 MAX_ROUNDS = 6
+#: Components in a posting list from which its n-gram goes to the end of the order, and how often that is done.
+CROWD, REORDERS = 12, 2
 _U = np.uint64
 
 
@@ -46,11 +55,14 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64), pa.int64())
 
 
-def set_key(s: np.ndarray) -> int:
-    """64 bits that stand for a set: sums of two mixes of its hashes, mixed again."""
-    x = np.array([mix(s).sum(dtype=_U), mix(s ^ _U(0x6A09E667F3BCC908)).sum(dtype=_U), len(s)], dtype=_U)
-    m = mix(x[:1] + _U(0x9E3779B97F4A7C15) * x[2:])
-    return int(mix(m ^ x[1:2]).view(np.int64)[0])
+def set_key(s: np.ndarray, bits: int = 64) -> tuple[int, int]:
+    """Twice 64 bits that stand for a set, each from sums of its own mixes of the hashes; fewer bits in the first for tests."""
+    out = []
+    for salt in (0x6A09E667F3BCC908, 0xBB67AE8584CAA73B):
+        x = mix(s ^ _U(salt)).sum(dtype=_U), mix(mix(s) + _U(salt)).sum(dtype=_U)
+        m = mix(np.array([x[0] + _U(0x9E3779B97F4A7C15) * _U(len(s))], dtype=_U))
+        out.append(int(mix(m ^ x[1]).view(np.int64)[0]))
+    return out[0] >> (64 - bits), out[1]
 
 
 def _batches(it, step: int = 200) -> Iterator[pa.RecordBatch]:
@@ -68,10 +80,14 @@ def rarity(docs: DataFrame, text_col: str, k: int) -> tuple[np.ndarray, np.ndarr
         from pyspark import TaskContext
 
         total = np.zeros((1 << SKETCH) + (1 << WORD_SKETCH), dtype=np.uint32)
+        grams, single = total[: 1 << SKETCH], total[1 << SKETCH :]
         for b in it:
-            for _, s in shingle_sets(b.column(0), k):
-                np.add.at(total, (s >> _U(64 - SKETCH)).astype(np.int64), 1)
-            word_counts(b.column(0), total[1 << SKETCH :])
+            for _, data, off in chunks(b.column(0)):
+                low = LOW[data]
+                s, e, first = words(low, off)
+                h = word_hashes(low, s, e)
+                np.add.at(single, (h >> _U(64 - WORD_SKETCH)).astype(np.int64), 1)
+                np.add.at(grams, (windows(h, first, k)[1] >> _U(64 - SKETCH)).astype(np.int64), 1)
         yield from emit_blocks(total, TaskContext.get().partitionId())
 
     n = docs.rdd.getNumPartitions()
@@ -94,21 +110,36 @@ def apart(x: bytes, y: bytes) -> int:
     return int(np.abs(x - y).sum())
 
 
-SCHEMA = "doc_id long, n int, cls long, sig binary, parity array<long>, tokens array<long>"
+def member(keys: Column, bits) -> Column:
+    """Whether a column of longs may be in member_bits() (a broadcast); only the keys travel to Python."""
+    @F.pandas_udf("boolean")
+    def test(k: pd.Series) -> pd.Series:
+        return pd.Series(is_member(bits.value, k.to_numpy(dtype=np.int64)))
 
+    return test(keys)
 
-def described(docs: DataFrame, id_col: str, text_col: str, k: int, t: int, rare: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """One row per input row: id, set size, class, and for the first row of a class in its task the prefix and the suffix-filter parts."""
-    rare = docs.sparkSession.sparkContext.broadcast(rare)
 
+SCHEMA = "doc_id long, h long, n int, key long, chk long, sig binary, parity array<long>, tokens array<long>"
+
+
+def prefix_of(s: np.ndarray, w: np.ndarray, rank: np.ndarray, late: np.ndarray | None, t: int) -> np.ndarray:
+    """The first n - ceil(t n) + 1 n-grams of a set in the global order: late ones last, then by sketch, word weight and hash."""
+    order = rank[(s >> _U(64 - SKETCH)).astype(np.int64)] * np.int64(1 << 20) + w
+    if late is not None:
+        order = order + is_member(late, s) * np.int64(1 << 40)
+    n = len(s)
+    return s[np.argsort(order, kind="stable")[: n - -(-t * n // 100) + 1]]
+
+
+def described(docs: DataFrame, id_col: str, text_col: str, k: int, t: int, rare, key_bits: int) -> DataFrame:
+    """One row per input row: id, text hash, set size, class keys, and for the first row of a class in its task the prefix and the suffix-filter parts."""
     def describe(it):
         (rank, weight), seen = rare.value, set()
         for b in _batches(it):
-            ids = b.column(0)
             ns, keys, sigs, odd, heads = [], [], [], [], []
-            for _, s, w in shingle_sets(b.column(1), k, weight):
+            for _, s, w in shingle_sets(b.column(2), k, weight):
                 n = len(s)
-                key = set_key(s) if n else None
+                key = set_key(s, key_bits) if n else (None, None)
                 ns.append(n)
                 keys.append(key)
                 if not n or key in seen:
@@ -117,8 +148,7 @@ def described(docs: DataFrame, id_col: str, text_col: str, k: int, t: int, rare:
                     heads.append(None)
                     continue
                 seen.add(key)
-                p = n - -(-t * n // 100) + 1
-                heads.append(s[np.argsort(rank[(s >> _U(64 - SKETCH)).astype(np.int64)] * np.int64(1 << 20) + w, kind="stable")[:p]].view(np.int64))
+                heads.append(prefix_of(s, w, rank, None, t).view(np.int64))
                 # other bits than the sketch's, as the parts must split what is alike there
                 many = parts_of(n)
                 part = np.bincount(((s >> _U(8)) & _U(many - 1)).astype(np.int64), minlength=many)
@@ -126,10 +156,26 @@ def described(docs: DataFrame, id_col: str, text_col: str, k: int, t: int, rare:
                 part = np.bincount(((s >> _U(20)) & _U(64 * LONGS - 1)).astype(np.int64), minlength=64 * LONGS) & 1
                 odd.append(np.packbits(part.astype(bool)).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [ids.cast(pa.int64()), pa.array(ns, pa.int32()), pa.array(keys, pa.int64()), pa.array(sigs, pa.binary()), pa.array(odd, pa.list_(pa.int64())), pa.array(heads, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "cls", "sig", "parity", "tokens"])
+                [b.column(0).cast(pa.int64()), b.column(1), pa.array(ns, pa.int32()), *[pa.array([x[i] for x in keys], pa.int64()) for i in (0, 1)],
+                 pa.array(sigs, pa.binary()), pa.array(odd, pa.list_(pa.int64())), pa.array(heads, pa.list_(pa.int64()))],
+                names=["doc_id", "h", "n", "key", "chk", "sig", "parity", "tokens"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(empty_to_string(text_col)).alias("h"), F.col(text_col)).mapInArrow(describe, SCHEMA)
+
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(describe, SCHEMA)
+def named(df: DataFrame, clash: DataFrame | None) -> DataFrame:
+    """Class keys (key, chk) as one class number: the key, or another where unlike sets share a key."""
+    if clash is None:
+        return df.withColumnRenamed("key", "cls").drop("chk")
+    return df.join(clash, ["key", "chk"], "left").withColumn("cls", F.coalesce("other", "key")).drop("key", "chk", "other")
+
+
+def clashes(rows: DataFrame) -> DataFrame | None:
+    """(key, chk, other): a new number for each class whose key another class has as well; usually there is none."""
+    many = rows.where("n > 0").groupBy("key").agg(F.min("chk").alias("lo"), F.max("chk").alias("hi")).where("lo != hi").select("key")
+    if not many.take(1):
+        return None
+    return stored(rows.join(many, "key").select("key", "chk").distinct().withColumn("other", F.xxhash64("chk", "key")))
 
 
 def _overlap(na, nb, t: int):
@@ -168,34 +214,63 @@ def suffix_filtered(pairs: DataFrame, sigs: DataFrame, t: int) -> DataFrame:
     return both.mapInArrow(check, "a long, b long, na int, nb int")
 
 
-def fetched(docs: DataFrame, text_col: str, k: int, nodes: DataFrame) -> DataFrame:
-    """(cls, set) of the classes in nodes (cls), once for each task that reads one; some others as well."""
-    spark = docs.sparkSession
-
-    wanted = spark.sparkContext.broadcast(member_bits(nodes))
-
-    def fetch(it):
-        bits, seen = wanted.value, set()
-        for b in _batches(it):
-            keys, sets = [], []
-            for _, s in shingle_sets(b.column(0), k):
-                if not len(s):
-                    continue
-                key = set_key(s)
-                if key not in seen and is_member(bits, np.array([key]))[0]:
-                    seen.add(key)
-                    keys.append(key)
-                    sets.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], names=["cls", "set"])
-
-    return docs.select(text_col).mapInArrow(fetch, "cls long, set binary")
-
-
-def verified(pairs: DataFrame, docs: DataFrame, text_col: str, k: int, t: int) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets."""
+class Texts:
+    """The documents and what describes their classes, to come back to the texts of some of them."""
+
+    def __init__(self, docs: DataFrame, text_col: str, k: int, t: int, rare, sigs: DataFrame, clash: DataFrame | None, key_bits: int):
+        self.rows = docs.select(F.col(text_col).alias("text"), F.xxhash64(empty_to_string(text_col)).alias("h"))
+        self.k, self.t, self.rare, self.sigs, self.clash, self.key_bits = k, t, rare, sigs, clash, key_bits
+
+    def of(self, classes: DataFrame) -> DataFrame:
+        """(text) of one document at least of each class in a table (cls), found by hash; some others as well."""
+        h = self.sigs.join(classes, "cls", "left_semi").select("h")
+        bits = classes.sparkSession.sparkContext.broadcast(member_bits(h))
+        return self.rows.where(member(F.col("h"), bits)).select("text")
+
+    def sets(self, classes: DataFrame) -> DataFrame:
+        """(cls, set) of the classes, once for each task that reads one; some others as well."""
+        k, key_bits = self.k, self.key_bits
+
+        def fetch(it):
+            seen = set()
+            for b in _batches(it):
+                keys, sets = [], []
+                for _, s in shingle_sets(b.column(0), k):
+                    key = set_key(s, key_bits) if len(s) else None
+                    if key and key not in seen:
+                        seen.add(key)
+                        keys.append(key)
+                        sets.append(s.tobytes())
+                yield pa.RecordBatch.from_arrays([*[pa.array([x[i] for x in keys], pa.int64()) for i in (0, 1)], pa.array(sets, pa.binary())], names=["key", "chk", "set"])
+
+        return named(self.of(classes).mapInArrow(fetch, "key long, chk long, set binary"), self.clash)
+
+    def prefixes(self, classes: DataFrame, late) -> DataFrame:
+        """(cls, n, tokens) of the classes under an order with late n-grams at its end; some others as well."""
+        k, t, rare, key_bits = self.k, self.t, self.rare, self.key_bits
+
+        def describe(it):
+            (rank, weight), seen = rare.value, set()
+            for b in _batches(it):
+                keys, ns, heads = [], [], []
+                for _, s, w in shingle_sets(b.column(0), k, weight):
+                    key = set_key(s, key_bits) if len(s) else None
+                    if key and key not in seen:
+                        seen.add(key)
+                        keys.append(key)
+                        ns.append(len(s))
+                        heads.append(prefix_of(s, w, rank, late.value, t).view(np.int64))
+                yield pa.RecordBatch.from_arrays([*[pa.array([x[i] for x in keys], pa.int64()) for i in (0, 1)], pa.array(ns, pa.int32()), pa.array(heads, pa.list_(pa.int64()))], names=["key", "chk", "n", "tokens"])
+
+        found = named(self.of(classes).mapInArrow(describe, "key long, chk long, n int, tokens array<long>"), self.clash)
+        return found.join(classes, "cls", "left_semi").select("cls", "n", "tokens")
+
+
+def verified(pairs: DataFrame, texts: Texts) -> DataFrame:
+    """The pairs (a, b) that link, by their whole sets; written."""
+    t = texts.t
     nodes = stored(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct())
-    sets = fetched(docs, text_col, k, nodes)
-    sets = stored(sets.join(nodes, "cls", "left_semi"))
+    sets = stored(texts.sets(nodes).join(nodes, "cls", "left_semi"))
 
     def side(c):
         return sets.select(F.col("cls").alias(c), F.col("set").alias(f"s{c}"))
@@ -212,99 +287,189 @@ def verified(pairs: DataFrame, docs: DataFrame, text_col: str, k: int, t: int) -
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     both = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb")
-    return both.mapInArrow(check, "a long, b long")
+    out = stored(both.mapInArrow(check, "a long, b long").distinct())
+    forget(pairs.sparkSession, nodes, sets)
+    return out
 
 
-def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, t: int = 80) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id (the smallest non-null id reachable by links).
+def postings(heads: DataFrame, odd: DataFrame, t: int) -> DataFrame:
+    """The postings of a table (cls, n, tokens) whose n-gram another class has in its prefix as well; written.
 
-    Two documents link when 100 * intersection >= t * union of their sets of k-grams (A-Z lower-cased;
-    a text of fewer words is one k-gram).  Null and empty texts have empty sets and link with
-    nothing.  Repeated rows link with each other as equal sets do.  A null id never names a
-    component that holds another.  An empty table gives an empty result.
+    Which n-grams these are comes from an aggregation, so a frequent one is a row a task, and the join
+    that follows can be split.
     """
-    spark = prepare(docs.sparkSession)
-    rare = rarity(docs, text_col, k)
-    rows = stored(described(docs, id_col, text_col, k, t, rare))
-    sigs = rows.where("sig IS NOT NULL").select("cls", "sig", "n")
-    sigs = sigs.groupBy("cls").agg(F.first("sig").alias("sig"))
-    # one shuffle: n-grams that only one class has in its prefix go at once
-    p = rows.where("tokens IS NOT NULL").select("cls", "n", F.posexplode("tokens").alias("pos", "token"))
-    w = Window.partitionBy("token")
-    p = p.withColumn("lo", F.min("cls").over(w)).withColumn("hi", F.max("cls").over(w)).where("lo != hi").select("token", "cls", "n", "pos")
-    first = p = stored(p.distinct())
+    p = heads.select("cls", "n", F.posexplode("tokens").alias("pos", "token"))
+    shared = p.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo != hi").select("token")
+    p = first = stored(p.join(shared, "token").select("token", "cls", "n", "pos").distinct())
     own = Window.partitionBy("cls")
     p = p.withColumn("share", F.count("*").over(own) / (F.col("n") * (100 - t) / 100 + 1)).withColumn("prev", F.lag("token").over(own.orderBy("pos")))
-    odd = rows.where("parity IS NOT NULL").groupBy("cls").agg(F.first("parity").alias("parity"))
     p = p.join(odd, "cls")
     p = stored(p.select("token", "cls", "n", "pos", "prev", "share", *[F.get("parity", F.lit(i)).alias(q) for i, q in enumerate(PARITY)]))
-    forget(spark, first)
-    sigs = stored(sigs.join(p.select("cls").distinct(), "cls", "left_semi"))
-    members = None  # (cls, root): classes in a component of several
-    tried: list[DataFrame] = []
+    forget(heads.sparkSession, first)
+    return p
+
+
+def with_lists(p: DataFrame, members: DataFrame | None) -> DataFrame:
+    """Postings of lists that join several components, with their component and all, major, comps of the list; written."""
+    now = p if members is None else p.join(members.select(F.col("node").alias("cls"), "root"), "cls", "left")
+    now = now.withColumn("comp", F.col("cls") if members is None else F.coalesce("root", "cls")).drop("root")
+    per = now.groupBy("token", "comp").agg(F.count("*").alias("c"))
+    lists = per.groupBy("token").agg(F.sum("c").alias("all"), F.max_by("comp", F.struct("c", "comp")).alias("major"), F.count("*").alias("comps")).where("comps > 1")
+    return stored(now.join(lists, "token"))
+
+
+def leader_pairs(now: DataFrame, round_: int) -> DataFrame:
+    """Each posting with the leader of its list: from the main component once there is one, by the share
+    of its prefix that others have, then by a hash that changes with the round."""
+    rank = F.struct(F.col("comp") == F.col("major") if round_ > 1 else F.lit(True), F.col("share") if round_ == 0 else F.lit(0.0), F.xxhash64("cls", F.lit(round_)))
+    lead = now.groupBy("token").agg(F.max_by(F.struct("cls", "n", "pos", "comp", *PARITY), rank).alias("lead"))
+    return now.join(lead, "token").where("comp != lead.comp").select(
+        F.col("lead.cls").alias("a"), F.col("cls").alias("b"), F.col("lead.n").alias("na"), F.col("n").alias("nb"), F.col("lead.pos").alias("pa"), F.col("pos").alias("pb"), *[F.col(f"lead.{q}").alias(f"x{q}") for q in PARITY], *PARITY)
+
+
+def all_pairs(now: DataFrame) -> DataFrame:
+    """Every pair of a list from different components: rows outside the list's main component meet the
+    whole list; where both come from the same list before this one, the pair was made there."""
+    minor = now.where("comp != major").select("token", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("comp").alias("cx"), F.col("prev").alias("vx"), *[F.col(q).alias(f"x{q}") for q in PARITY])
+    return minor.join(now, "token").where("comp != cx AND (comp = major OR x < cls) AND (vx IS NULL OR prev IS NULL OR vx != prev)").select(
+        F.least("x", "cls").alias("a"), F.greatest("x", "cls").alias("b"),
+        F.when(F.col("x") < F.col("cls"), F.col("nx")).otherwise(F.col("n")).alias("na"), F.when(F.col("x") < F.col("cls"), F.col("n")).otherwise(F.col("nx")).alias("nb"),
+        F.when(F.col("x") < F.col("cls"), F.col("px")).otherwise(F.col("pos")).alias("pa"), F.when(F.col("x") < F.col("cls"), F.col("pos")).otherwise(F.col("px")).alias("pb"), *[f"x{q}" for q in PARITY], *PARITY)
+
+
+def crowded(now: DataFrame, heads: DataFrame, was: np.ndarray | None) -> tuple[np.ndarray, DataFrame] | None:
+    """(bits of the n-grams that go to the end of the order, classes whose prefix holds one), or None if no list is crowded."""
+    tokens = now.where(F.col("comps") >= CROWD).select("token").distinct()
+    if not tokens.take(1):
+        return None
+    bits = member_bits(tokens)
+    sent = now.sparkSession.sparkContext.broadcast(bits)
+
+    def hit(it):
+        for b in it:
+            tokens = b.column(1)
+            at = np.repeat(np.arange(b.num_rows), np.diff(np.asarray(tokens.offsets)))
+            keep = np.unique(at[is_member(sent.value, tokens.flatten().to_numpy())])
+            yield b.select(["cls"]).take(pa.array(keep))
+
+    # the bits decide, not the list they stand for: what they let through by chance is moved everywhere alike
+    classes = stored(heads.select("cls", "tokens").mapInArrow(hit, "cls long").distinct())
+    return (bits if was is None else bits | was), classes
+
+
+def linked_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, t: int = 80, key_bits: int = 64) -> DataFrame:
+    """linked() with the hash h of each row's text and the number comp of its component; a written table."""
+    spark = prepare(docs.sparkSession)
+    freed(spark)
+    rare = spark.sparkContext.broadcast(rarity(docs, text_col, k))
+    described_rows = stored(described(docs, id_col, text_col, k, t, rare, key_bits))
+    clash = clashes(described_rows)
+    rows = named(described_rows, clash)
+    whole = rows.where("tokens IS NOT NULL")
+    heads, odd = whole.select("cls", "n", "tokens"), whole.groupBy("cls").agg(F.first("parity").alias("parity"))
+    p = postings(heads, odd, t)
+    sigs = stored(whole.groupBy("cls").agg(F.first("sig").alias("sig"), F.min("h").alias("h")))
+    texts = Texts(docs, text_col, k, t, rare, sigs, clash, key_bits)
+    members = None  # (node, root): classes in a component of several
     links: list[DataFrame] = []
-    left = 0
-    for round_ in range(MAX_ROUNDS + 1):
-        now = p if members is None else p.join(members.select(F.col("node").alias("cls"), "root"), "cls", "left")
-        now = now.withColumn("comp", F.col("cls") if members is None else F.coalesce("root", "cls")).drop("root")
-        per = now.groupBy("token", "comp").agg(F.count("*").alias("c"))
-        lists = per.groupBy("token").agg(F.sum("c").alias("all"), F.max("c").alias("most"), F.max_by("comp", F.struct("c", "comp")).alias("major"), F.count("*").alias("comps")).where("comps > 1")
-        now = stored(now.join(lists, "token"))
-        forget(spark, *tried)
-        tried = [now]
+    redone: list[DataFrame] = []
+    late, reorders = None, 0
+    left = round_ = 0
+    while True:
+        now = with_lists(p, members)
         total = now.agg(F.count("*"), F.sum(F.when(F.col("comp") != F.col("major"), F.col("all")).otherwise(0))).first()
         if not total[0]:
+            forget(spark, now)
             break
         left, before = total[1] or 0, left
         # rounds with leaders are worth it while they merge; what they leave are lists of unlike texts
-        last = round_ == MAX_ROUNDS or (round_ > 0 and (left <= 16 * total[0] + 100_000 or 2 * left > before))
-        if last:
-            # every pair of different components: rows outside the list's main component meet the whole list;
-            # where both come from the same list before this one, the pair was made there
-            minor = now.where("comp != major").select("token", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("comp").alias("cx"), F.col("prev").alias("vx"), *[F.col(q).alias(f"x{q}") for q in PARITY])
-            qa, qb = [F.col(f"x{q}") for q in PARITY], [F.col(q) for q in PARITY]
-            pairs = minor.join(now, "token").where("comp != cx AND (comp = major OR x < cls) AND (vx IS NULL OR prev IS NULL OR vx != prev)").select(
-                F.least("x", "cls").alias("a"), F.greatest("x", "cls").alias("b"),
-                F.when(F.col("x") < F.col("cls"), F.col("nx")).otherwise(F.col("n")).alias("na"), F.when(F.col("x") < F.col("cls"), F.col("n")).otherwise(F.col("nx")).alias("nb"),
-                F.when(F.col("x") < F.col("cls"), F.col("px")).otherwise(F.col("pos")).alias("pa"), F.when(F.col("x") < F.col("cls"), F.col("pos")).otherwise(F.col("px")).alias("pb"), *[f"x{q}" for q in PARITY], *PARITY)
-        else:
-            # the leader: from the main component once there is one, by the share of its prefix that others have, then by a hash that changes with the round
-            rank = F.struct(F.col("comp") == F.col("major") if round_ > 1 else F.lit(True), F.col("share") if round_ == 0 else F.lit(0.0), F.xxhash64("cls", F.lit(round_)))
-            lead = now.groupBy("token").agg(F.max_by(F.struct("cls", "n", "pos", "comp", *PARITY), rank).alias("lead"))
-            pairs = now.join(lead, "token").where("comp != lead.comp").select(
-                F.col("lead.cls").alias("a"), F.col("cls").alias("b"), F.col("lead.n").alias("na"), F.col("n").alias("nb"), F.col("lead.pos").alias("pa"), F.col("pos").alias("pb"), *[F.col(f"lead.{q}").alias(f"x{q}") for q in PARITY], *PARITY)
-            qa, qb = [F.col(f"x{q}") for q in PARITY], [F.col(q) for q in PARITY]
-        pairs = pairs.where(_passes(t, qa, qb)).groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"))
+        last = round_ >= MAX_ROUNDS or (round_ > 0 and (left <= 16 * total[0] + 100_000 or 2 * left > before))
+        if last and reorders < REORDERS and (new := crowded(now, heads, late)):
+            late, classes = new
+            reorders += 1
+            fresh = stored(texts.prefixes(classes, spark.sparkContext.broadcast(late)))
+            heads = heads.join(classes, "cls", "left_anti").unionByName(fresh)
+            redone += [classes, fresh]
+            forget(spark, now, p)
+            p = postings(heads, odd, t)
+            freed(spark)
+            left = 0
+            continue
+        pairs = all_pairs(now) if last else leader_pairs(now, round_)
+        pairs = pairs.where(_passes(t, [F.col(f"x{q}") for q in PARITY], [F.col(q) for q in PARITY])).groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"))
         pairs = stored(suffix_filtered(pairs, sigs, t))
-        found = stored(verified(pairs, docs, text_col, k, t)) if pairs.take(1) else None
-        forget(spark, pairs)
+        found = verified(pairs, texts) if pairs.take(1) else None
+        forget(spark, now, pairs)
         if found is not None and found.take(1):
             links.append(found)
-            whole = links[0]
+            every = links[0]
             for x in links[1:]:
-                whole = whole.unionByName(x)
-            members = stored(components(whole))
+                every = every.unionByName(x)
+            if members is not None:
+                forget(spark, members)
+            members = stored(components(every))
         freed(spark)
+        round_ += 1
         if last:
             break
     least = rows.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
     if members is not None:
         roots = least.join(members.withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("root", "cls"))
-        roots = stored(roots.select("cls", "comp", "least"))
-        roots = roots.select("cls", "comp").join(roots.groupBy("comp").agg(F.min("least").alias("least")), "comp").select("cls", "least")
+        roots = roots.select("cls", "comp").join(roots.groupBy("comp").agg(F.min("least").alias("least")), "comp")
     else:
-        roots = least
-    out = rows.select("doc_id", "n", "cls").join(roots, "cls", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+        roots = least.withColumn("comp", F.col("cls"))
+    out = rows.select("doc_id", "h", "n", "cls").join(roots, "cls", "left")
+    out = stored(out.select("doc_id", "h", "comp", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id")))
+    forget(spark, described_rows, p, sigs, *links, *redone, *[x for x in (clash, members) if x is not None])
+    freed(spark)
+    return out
+
+
+def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, t: int = 80) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id (the smallest non-null id reachable by links).
+
+    Two documents link when 100 * intersection >= t * union of their sets of k-grams (A-Z lower-cased;
+    a text of fewer words is one k-gram).  Null and empty texts have empty sets and link with
+    nothing.  Repeated rows link with each other as equal sets do.  A null id never names a
+    component that holds another.  An empty table gives an empty result.  Other columns are not
+    read, whatever their names.  k-grams are compared as 64-bit hashes.
+    """
+    return linked_rows(docs, id_col, text_col, k, t).drop("h", "comp")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, t: int = 80) -> DataFrame:
-    """The input rows whose id names their component: one document of each group stays, all columns as they came."""
-    stay = linked(docs, id_col, text_col, k, t).where("doc_id <=> component_id").select(F.col("doc_id").alias("__stay")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(stay["__stay"]), "left_semi")
+    """One row of each component, all columns as they came: that of the smallest id, then of the smallest text hash.
+
+    Of rows equal in id and text one stays; texts without a k-gram all stay, but for such repeats.
+    Null ids come last.  An empty table gives an empty result.  Rows that are sure to stay do not
+    move: only those whose key is among the dropped ones (a fixed-size filter tells) are joined.
+    """
+    spark = docs.sparkSession
+    rows = linked_rows(docs, id_col, text_col, k, t)
+    id_ = F.col(id_col).cast("long")
+    key = F.xxhash64(id_, F.xxhash64(empty_to_string(text_col)))
+    rows = rows.withColumn("key", F.xxhash64("doc_id", "h"))
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "h")
+    best = rows.where("n_shingles > 0").groupBy("comp").agg(F.min(rank).alias("best")).select("comp", F.col("best.doc_id").alias("bd"), F.col("best.h").alias("bh"))
+    gone = stored(rows.where("n_shingles > 0").join(best, "comp").where("NOT (doc_id <=> bd AND h = bh)").select("doc_id", "h", "key").distinct())
+    repeats = stored(rows.groupBy("key").count().where("count > 1").select("key"))
+    bits = spark.sparkContext.broadcast(member_bits(gone.select("key").unionByName(repeats)))
+    marked = docs.withColumn("__key", key).withColumn("__may", member(F.col("__key"), bits))
+    sure = marked.where(~F.col("__may")).drop("__key", "__may")
+    rest = marked.where("__may").withColumn("__h", F.xxhash64(empty_to_string(text_col)))
+    on = (rest["__key"] == gone["key"]) & (rest["__h"] == gone["h"]) & rest[id_col].cast("long").eqNullSafe(gone["doc_id"])
+    rest = rest.join(gone, on, "left_anti")
+    if repeats.take(1):
+        # equal in id and text: the row whose columns hash least
+        every = [F.col(f"`{c}`") for c in docs.columns]
+        rest = rest.groupBy("__key", "__h", F.col(id_col).cast("long").alias("__id")).agg(F.min_by(F.struct(*every), F.xxhash64(*every)).alias("__row")).select("__row.*")
+    else:
+        rest = rest.drop("__key", "__may", "__h")
+    return sure.unionByName(rest)
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """linked() over documents: three words, Jaccard 0.9; null, empty and repeated rows as stated there."""
     return linked(spark.read.parquet(f"{sf_dir}/documents.parquet"), k=3, t=90)
 
 
