@@ -18,14 +18,16 @@ that would join two components is lost; a run of consecutive shared n-grams, as
 makes, gives the pair once, at its first.  Rounds repeat while they merge and the remaining pairs are many.
 
 Sketches cannot tell how rare an n-gram is once the input outgrows them, and a passage that many
-unlike texts share would pair all of them.  So before the last round the posting lists themselves,
-which are exact, correct the order: n-grams whose list joins CROWD components or more go to the end of
-it, and the prefixes of all classes that hold one are taken anew.
+unlike texts share would pair all of them.  So where the pairs would outnumber the postings by far, the
+posting lists themselves, which are exact, correct the order before the last round: n-grams whose list
+joins CROWD components or more go to the end of it, and the prefixes of all classes that hold one are
+taken anew.  This changes the work, never the result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -45,9 +47,12 @@ SKETCH, WORD_SKETCH = 22, 20
 PARTS = 128
 LONGS = 8
 PARITY = [f"q{i}" for i in range(LONGS)]
+#: The n-grams before one in the postings of its class.
+BEFORE = [f"v{i}" for i in range(4)]
 MAX_ROUNDS = 6
-#: Components in a posting list from which its n-gram goes to the end of the order, and how often that is done.
-CROWD, REORDERS = 12, 2
+#: Components in a posting list from which its n-gram may go to the end of the order, how often that is
+#: done at most, and how many pairs there must be for each posting to make it worth while.
+CROWD, REORDERS, WORTH = 12, 2, 16
 _U = np.uint64
 
 
@@ -60,7 +65,7 @@ def set_key(s: np.ndarray, bits: int = 64) -> tuple[int, int]:
     out = []
     for salt in (0x6A09E667F3BCC908, 0xBB67AE8584CAA73B):
         x = mix(s ^ _U(salt)).sum(dtype=_U), mix(mix(s) + _U(salt)).sum(dtype=_U)
-        m = mix(np.array([x[0] + _U(0x9E3779B97F4A7C15) * _U(len(s))], dtype=_U))
+        m = mix(np.array([x[0]], dtype=_U) + np.array([len(s)], dtype=_U) * _U(0x9E3779B97F4A7C15))
         out.append(int(mix(m ^ x[1]).view(np.int64)[0]))
     return out[0] >> (64 - bits), out[1]
 
@@ -302,9 +307,11 @@ def postings(heads: DataFrame, odd: DataFrame, t: int) -> DataFrame:
     shared = p.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo != hi").select("token")
     p = first = stored(p.join(shared, "token").select("token", "cls", "n", "pos").distinct())
     own = Window.partitionBy("cls")
-    p = p.withColumn("share", F.count("*").over(own) / (F.col("n") * (100 - t) / 100 + 1)).withColumn("prev", F.lag("token").over(own.orderBy("pos")))
+    p = p.withColumn("share", F.count("*").over(own) / (F.col("n") * (100 - t) / 100 + 1))
+    for i, v in enumerate(BEFORE):
+        p = p.withColumn(v, F.lag("token", i + 1).over(own.orderBy("pos")))
     p = p.join(odd, "cls")
-    p = stored(p.select("token", "cls", "n", "pos", "prev", "share", *[F.get("parity", F.lit(i)).alias(q) for i, q in enumerate(PARITY)]))
+    p = stored(p.select("token", "cls", "n", "pos", *BEFORE, "share", *[F.get("parity", F.lit(i)).alias(q) for i, q in enumerate(PARITY)]))
     forget(heads.sparkSession, first)
     return p
 
@@ -329,12 +336,16 @@ def leader_pairs(now: DataFrame, round_: int) -> DataFrame:
 
 def all_pairs(now: DataFrame) -> DataFrame:
     """Every pair of a list from different components: rows outside the list's main component meet the
-    whole list; where both come from the same list before this one, the pair was made there."""
-    minor = now.where("comp != major").select("token", F.col("cls").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"), F.col("comp").alias("cx"), F.col("prev").alias("vx"), *[F.col(q).alias(f"x{q}") for q in PARITY])
-    return minor.join(now, "token").where("comp != cx AND (comp = major OR x < cls) AND (vx IS NULL OR prev IS NULL OR vx != prev)").select(
+    whole list; where a list shortly before this one holds both, the pair was made there or before."""
+    names = {"cls": "x", "n": "nx", "pos": "px", "comp": "cx"} | {c: f"x{c}" for c in (*BEFORE, *PARITY)}
+    minor = now.where("comp != major").select("token", *[F.col(c).alias(x) for c, x in names.items()])
+    made = F.coalesce(reduce(lambda a, b: a | b, [F.col(f"x{v}").eqNullSafe(F.col(w)) & F.col(w).isNotNull() for v in BEFORE for w in BEFORE]), F.lit(False))
+    first = F.col("x") < F.col("cls")
+    both = minor.join(now, "token").where("comp != cx AND (comp = major OR x < cls)").where(~made)
+    return both.select(
         F.least("x", "cls").alias("a"), F.greatest("x", "cls").alias("b"),
-        F.when(F.col("x") < F.col("cls"), F.col("nx")).otherwise(F.col("n")).alias("na"), F.when(F.col("x") < F.col("cls"), F.col("n")).otherwise(F.col("nx")).alias("nb"),
-        F.when(F.col("x") < F.col("cls"), F.col("px")).otherwise(F.col("pos")).alias("pa"), F.when(F.col("x") < F.col("cls"), F.col("pos")).otherwise(F.col("px")).alias("pb"), *[f"x{q}" for q in PARITY], *PARITY)
+        F.when(first, F.col("nx")).otherwise(F.col("n")).alias("na"), F.when(first, F.col("n")).otherwise(F.col("nx")).alias("nb"),
+        F.when(first, F.col("px")).otherwise(F.col("pos")).alias("pa"), F.when(first, F.col("pos")).otherwise(F.col("px")).alias("pb"), *[f"x{q}" for q in PARITY], *PARITY)
 
 
 def crowded(now: DataFrame, heads: DataFrame, was: np.ndarray | None) -> tuple[np.ndarray, DataFrame] | None:
@@ -384,7 +395,7 @@ def linked_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         left, before = total[1] or 0, left
         # rounds with leaders are worth it while they merge; what they leave are lists of unlike texts
         last = round_ >= MAX_ROUNDS or (round_ > 0 and (left <= 16 * total[0] + 100_000 or 2 * left > before))
-        if last and reorders < REORDERS and (new := crowded(now, heads, late)):
+        if last and reorders < REORDERS and left > WORTH * total[0] and (new := crowded(now, heads, late)):
             late, classes = new
             reorders += 1
             fresh = stored(texts.prefixes(classes, spark.sparkContext.broadcast(late)))

@@ -45,6 +45,7 @@ def crowd(n=60):
 @pytest.mark.parametrize("key_bits,crowded", [(3, 10**9), (64, 2)])
 def test_clashing_keys_and_crowded_lists(spark, monkeypatch, key_bits, crowded):
     monkeypatch.setattr(jaccard_join, "CROWD", crowded)
+    monkeypatch.setattr(jaccard_join, "WORTH", 0)
     monkeypatch.setattr(jaccard_join, "MAX_ROUNDS", 1)
     for rows, k, t in ((corpus(), 3, 90), (crowd(), 3, 80)):
         comp = components(rows, k, t)
