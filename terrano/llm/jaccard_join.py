@@ -61,13 +61,10 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def set_key(s: np.ndarray, bits: int = 64) -> tuple[int, int]:
-    """Twice 64 bits that stand for a set, each from sums of its own mixes of the hashes; fewer bits in the first for tests."""
-    out = []
-    for salt in (0x6A09E667F3BCC908, 0xBB67AE8584CAA73B):
-        x = mix(s ^ _U(salt)).sum(dtype=_U), mix(mix(s) + _U(salt)).sum(dtype=_U)
-        m = mix(np.array([x[0]], dtype=_U) + np.array([len(s)], dtype=_U) * _U(0x9E3779B97F4A7C15))
-        out.append(int(mix(m ^ x[1]).view(np.int64)[0]))
-    return out[0] >> (64 - bits), out[1]
+    """Twice 64 bits that stand for a set, each from a sum of its own mixes of the hashes; fewer bits in the first for tests."""
+    sums = np.array([mix(s).sum(dtype=_U), mix(s ^ _U(0x6A09E667F3BCC908)).sum(dtype=_U)])
+    key, chk = mix(sums + np.array([len(s)], dtype=_U) * _U(0x9E3779B97F4A7C15)).view(np.int64).tolist()
+    return key >> (64 - bits), chk
 
 
 def _batches(it, step: int = 200) -> Iterator[pa.RecordBatch]:
@@ -226,19 +223,25 @@ class Texts:
         self.rows = docs.select(F.col(text_col).alias("text"), F.xxhash64(empty_to_string(text_col)).alias("h"))
         self.k, self.t, self.rare, self.sigs, self.clash, self.key_bits = k, t, rare, sigs, clash, key_bits
 
-    def of(self, classes: DataFrame) -> DataFrame:
-        """(text) of one document at least of each class in a table (cls), found by hash; some others as well."""
+    def of(self, classes: DataFrame):
+        """A reader of Arrow batches (text, h) that yields batches of one document at least of each class
+        in a table (cls), found by hash, and of some others."""
         h = self.sigs.join(classes, "cls", "left_semi").select("h")
         bits = classes.sparkSession.sparkContext.broadcast(member_bits(h))
-        return self.rows.where(member(F.col("h"), bits)).select("text")
+
+        def read(it) -> Iterator[pa.RecordBatch]:
+            for b in _batches(it):
+                yield b.filter(pa.array(is_member(bits.value, b.column(1).to_numpy())))
+
+        return read
 
     def sets(self, classes: DataFrame) -> DataFrame:
         """(cls, set) of the classes, once for each task that reads one; some others as well."""
-        k, key_bits = self.k, self.key_bits
+        k, key_bits, read = self.k, self.key_bits, self.of(classes)
 
         def fetch(it):
             seen = set()
-            for b in _batches(it):
+            for b in read(it):
                 keys, sets = [], []
                 for _, s in shingle_sets(b.column(0), k):
                     key = set_key(s, key_bits) if len(s) else None
@@ -248,15 +251,15 @@ class Texts:
                         sets.append(s.tobytes())
                 yield pa.RecordBatch.from_arrays([*[pa.array([x[i] for x in keys], pa.int64()) for i in (0, 1)], pa.array(sets, pa.binary())], names=["key", "chk", "set"])
 
-        return named(self.of(classes).mapInArrow(fetch, "key long, chk long, set binary"), self.clash)
+        return named(self.rows.mapInArrow(fetch, "key long, chk long, set binary"), self.clash)
 
     def prefixes(self, classes: DataFrame, late) -> DataFrame:
         """(cls, n, tokens) of the classes under an order with late n-grams at its end; some others as well."""
-        k, t, rare, key_bits = self.k, self.t, self.rare, self.key_bits
+        k, t, rare, key_bits, read = self.k, self.t, self.rare, self.key_bits, self.of(classes)
 
         def describe(it):
             (rank, weight), seen = rare.value, set()
-            for b in _batches(it):
+            for b in read(it):
                 keys, ns, heads = [], [], []
                 for _, s, w in shingle_sets(b.column(0), k, weight):
                     key = set_key(s, key_bits) if len(s) else None
@@ -267,7 +270,7 @@ class Texts:
                         heads.append(prefix_of(s, w, rank, late.value, t).view(np.int64))
                 yield pa.RecordBatch.from_arrays([*[pa.array([x[i] for x in keys], pa.int64()) for i in (0, 1)], pa.array(ns, pa.int32()), pa.array(heads, pa.list_(pa.int64()))], names=["key", "chk", "n", "tokens"])
 
-        found = named(self.of(classes).mapInArrow(describe, "key long, chk long, n int, tokens array<long>"), self.clash)
+        found = named(self.rows.mapInArrow(describe, "key long, chk long, n int, tokens array<long>"), self.clash)
         return found.join(classes, "cls", "left_semi").select("cls", "n", "tokens")
 
 
