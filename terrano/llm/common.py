@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Rows in one Arrow batch: long texts keep a batch of a few thousand rows in the tens of MB.
 ARROW_ROWS = 1000
@@ -70,6 +71,25 @@ def kept_out(c: Column, mod: int, rest: int) -> Column:
     return F.coalesce(F.crc32(F.encode(c.cast("string"), "UTF-8")) % mod == rest, F.lit(False))
 
 
+#: Parts over which equal rows are dealt to number them.
+SALTS = 64
+
+
+def numbered(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """rows with a column that counts those of equal keys (none null) from 0.
+
+    Equal rows are dealt out by their place over SALTS parts, so that a row which makes up a large
+    share of the table does not land in one task; each part counts on from those before it.
+    """
+    rows = rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    own = [*keys, "__salt"]
+    before = Window.partitionBy(*keys).orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy(*own).agg(F.count("*").alias("__c")).withColumn("__before", F.coalesce(F.sum("__c").over(before), F.lit(0))).where("__before > 0").drop("__c")
+    rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*own).orderBy("__salt")))  # rows of one window are alike: any order will do
+    rows = rows.join(parts, own, "left").withColumn(name, (F.col("__n") - 1 + F.coalesce("__before", F.lit(0))).cast("int"))
+    return rows.drop("__salt", "__n", "__before")
+
+
 BLOCK = 1 << 14
 
 

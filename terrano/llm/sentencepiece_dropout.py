@@ -27,9 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import freed, prepare
+from .common import freed, numbered, prepare
 from .textvec import _mix_scalar, mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -44,8 +43,6 @@ STEP = 200_000
 SYMBOLS = 1 << 20
 #: Longer units take the agenda one by one and are not remembered.
 LONG = 48
-#: Parts over which equal rows are dealt to number them.
-SALTS = 64
 MARK = "▁"
 UNIT = re.compile(f"{MARK}+[^{MARK}\\n]*|\\n|[^{MARK}\\n]+")
 _U = np.uint64
@@ -394,22 +391,6 @@ class Encoder:
         return b"".join([out[i] for i in ids])[1:].decode("utf-8", "surrogatepass")
 
 
-def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (doc_id, variant, text); variant counts the rows of equal id and text from 0.
-
-    Equal rows are dealt out by their place over SALTS parts, so that a row which makes up a large
-    share of the table does not land in one task; each part counts on from those before it.
-    """
-    key = [F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("i"), F.col(id_col).isNull().alias("none"), F.xxhash64(text_col).alias("h"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).alias("salt")]
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *key)
-    names = ["i", "none", "h", "salt"]
-    before = Window.partitionBy("i", "none", "h").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    parts = rows.groupBy(*names).agg(F.count("*").alias("c")).withColumn("before", F.coalesce(F.sum("c").over(before), F.lit(0))).where("before > 0").drop("c")
-    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy(*names).orderBy("h")))  # rows of one window are alike: any order will do
-    rows = rows.join(parts, names, "left")
-    return rows.select("doc_id", (F.col("n") - 1 + F.coalesce("before", F.lit(0))).cast("int").alias("variant"), "text")
-
-
 def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = MODEL, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """One row per input row: doc_id, variant, ids, n_tokens, lossless (whether decoding gives the text back).
 
@@ -420,7 +401,8 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
     prepare(docs.sparkSession)
     if docs.groupBy(id_col).count().where("count > 1").take(1):
         freed(docs.sparkSession)  # dealing out the texts takes room
-        rows = numbered(docs, id_col, text_col)
+        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("i"), F.col(id_col).isNull().alias("none"), F.xxhash64(text_col).alias("h"))
+        rows = numbered(rows, ["i", "none", "h"], "variant").select("doc_id", "variant", "text")
     else:
         rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(0).alias("variant"), F.col(text_col).alias("text"))
     rows = rows.withColumn("key", F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text"), "variant"))
@@ -442,4 +424,5 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """encoded() over documents; null, empty and repeated rows as stated there."""
     return encoded(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -1,16 +1,18 @@
 """Substring dedup by super-k-mer partitioning.
 
-A window is 13 consecutive words.  Its minimiser is the least of its words' hashes;
-words that stand out in a fixed-size count sketch of all text rank behind all others, so a frequent
-word does not draw half of all windows into one bucket.  Consecutive windows with one minimiser
+A window is 13 consecutive words.  Its minimiser is the least hash of its words that are not
+frequent; a window of frequent words alone has the least of its three-word runs, those of
+rarer words first.  So a frequent word does not draw its windows into one bucket: what counts as frequent follows
+the number of buckets, by a fixed-size count sketch of all text.  Consecutive windows with one minimiser
 travel together as one packed string (their words, joined by a space) to the minimiser's bucket,
-many strings of a task in one compressed block.  In the bucket the windows are sorted by hash,
-equal neighbours are compared word by word, and each window that also starts in a document
+many strings of a task in one compressed block.  In the bucket the windows are sorted by two hashes,
+equal neighbours are compared byte by byte, and each window that also starts in a document
 with a smaller id is marked; marks come back as word ranges.
 
 Hot passages: equal strings of one task are settled there, where only the one of the smallest id
-travels on, so a passage of a third of all documents reaches its bucket once a task.  The number of
-buckets follows the input, so a bucket keeps its size.
+travels on, so a passage of a third of all documents reaches its bucket once a task; the settled ranges
+travel in packed blocks of bounded size, dealt out evenly.  The number of buckets follows the input, so
+a bucket keeps its size.
 """
 
 from __future__ import annotations
@@ -28,18 +30,23 @@ from .common import BLOCK_SCHEMA, MEMBERS, emit_blocks, empty_to_string, is_memb
 from .textvec import SPACE, WORDS, chunks, mix, prefix, span, windows, word_hashes, words
 
 WINDOW = 13
-MGRAM = 1
+#: Words of a run that stands for a window of frequent words.
+MGRAM = 3
 SKETCH = 20
 #: Bytes of packed strings that a task gathers before it sends blocks.
 FLUSH = 12 << 20
 #: Buckets for each partition of the input.
 SPREAD = 16
+#: A word is frequent if its counter holds more than this share of a bucket's words: up to 25 words travel for each of its places.
+SHARE = 1 / 32
+#: Settled ranges in one block.
+SETTLED = 20_000
 _U = np.uint64
 _NULL = np.iinfo(np.int64).max
 
 
-def heavy_ranks(docs: DataFrame, text_col: str) -> np.ndarray:
-    """log2 of how far each sketch counter of m-grams stands above eight times the mean, over all text."""
+def heavy_ranks(docs: DataFrame, text_col: str, buckets: int) -> np.ndarray:
+    """By counter of the sketch: 0 for words that are not frequent, else 1 and more with the logarithm of the count, over all text."""
 
     def count(it):
         from pyspark import TaskContext
@@ -47,13 +54,13 @@ def heavy_ranks(docs: DataFrame, text_col: str) -> np.ndarray:
         total = np.zeros(1 << SKETCH, dtype=np.uint32)
         for b in it:
             for _, data, off in chunks(b.column(0)):
-                s, e, first = words(data, off)
-                _, g = windows(word_hashes(data, s, e), first, MGRAM)
-                total += np.bincount((g >> _U(64 - SKETCH)).astype(np.int64), minlength=1 << SKETCH).astype(np.uint32)
+                s, e, _ = words(data, off)
+                total += np.bincount((word_hashes(data, s, e) >> _U(64 - SKETCH)).astype(np.int64), minlength=1 << SKETCH).astype(np.uint32)
         yield from emit_blocks(total, TaskContext.get().partitionId())
 
     total = sum_blocks(docs.sparkSession, docs.select(text_col).mapInArrow(count, BLOCK_SCHEMA), 1 << SKETCH, docs.rdd.getNumPartitions())
-    return np.minimum(np.log2(np.maximum(total / (8 * total.mean() + 8), 1)), 31).astype(np.uint8)
+    limit = max(8.0, float(total.sum()) * SHARE / buckets)
+    return np.where(total > limit, np.minimum(1 + np.log2(np.maximum(total / limit, 1)), 31), 0).astype(np.uint8)
 
 
 def packed(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -65,24 +72,32 @@ def packed(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[bytes, np.nd
     return np.where(white, np.uint8(32), data)[keep].tobytes(), at[s], at[e - 1] + 1
 
 
-def super_kmers(h: np.ndarray, first: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, windows, minimiser) of each run of windows with one minimiser."""
-    n = len(h)
-    if n < WINDOW:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, _U)
-    at = np.arange(n - MGRAM + 1)
-    v = span(prefix(h, WORDS), at, at + MGRAM, WORDS)
-    v = (rank[(v >> _U(64 - SKETCH)).astype(np.int64)].astype(_U) << _U(58)) | (mix(v) >> _U(6))
-    w, size = WINDOW - MGRAM + 1, 1
-    low = v
-    while size < w:  # the least of `size` values, twice as many with each step
+def _least(v: np.ndarray, w: int) -> np.ndarray:
+    """The least of each w successive values; twice as many with each step."""
+    size = 1
+    while size < w:
         step = min(size, w - size)
-        low = np.minimum(low[: len(low) - step], low[step:])
+        v = np.minimum(v[: len(v) - step], v[step:])
         size += step
+    return v
+
+
+def super_kmers(h: np.ndarray, first: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, windows, minimiser) of each run of windows with one minimiser."""
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, _U)
+    if len(h) < WINDOW:
+        return none
     start, _ = windows(h, first, WINDOW)
     if not len(start):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, _U)
-    low = low[start]
+        return none
+    heavy = rank[(h >> _U(64 - SKETCH)).astype(np.int64)]
+    top = _U(1 << 63)
+    low = _least(np.where(heavy == 0, mix(h) >> _U(1), top), WINDOW)[start]
+    if (low == top).any():
+        at = np.arange(len(h) - MGRAM + 1)
+        v = span(prefix(h, WORDS), at, at + MGRAM, WORDS)
+        v = top | (_least(heavy, MGRAM).astype(_U) << _U(58)) | (mix(v) >> _U(6))
+        low = np.where(low == top, _least(v, WINDOW - MGRAM + 1)[start], low)
     cut = np.flatnonzero((np.diff(start) != 1) | (low[1:] != low[:-1])) + 1
     begin = np.concatenate(([0], cut))
     return start[begin], np.diff(np.concatenate((begin, [len(start)]))), low[begin]
@@ -110,32 +125,45 @@ def _decode(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, bytes]:
     return ids, hs, starts, raw[a + 20 * n :]
 
 
+def _encode_ranges(cols: np.ndarray) -> bytes:
+    """Rows (id order, row hash, first word, end word)."""
+    raw = b"".join(cols[:, i].astype(kind).tobytes() for i, kind in enumerate(("<i8", "<i8", "<i4", "<i4")))
+    return len(cols).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _decode_ranges(blob: bytes) -> tuple[np.ndarray, ...]:
+    n = int.from_bytes(blob[:4], "little")
+    raw = pa.decompress(blob[4:], decompressed_size=24 * n, codec="zstd", asbytes=True)
+    return np.frombuffer(raw, "<i8", n), np.frombuffer(raw, "<i8", n, 8 * n), np.frombuffer(raw, "<i4", n, 16 * n), np.frombuffer(raw, "<i4", n, 20 * n)
+
+
 def scattered(docs: DataFrame, buckets: int, rank: np.ndarray) -> DataFrame:
-    """(bucket, blob) of a table (doc_id, h, t): super-k-mers for their bucket; bucket -1: ranges that are settled already."""
+    """(bucket, blob) of a table (doc_id, h, t): super-k-mers for their bucket; below 0: ranges that are settled already."""
     rank = docs.sparkSession.sparkContext.broadcast(rank)
 
-    def flush(best: dict, again: list, settled: list) -> Iterator[pa.RecordBatch]:
+    def flush(best: dict, again: set, settled: list, sent: int) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         by: dict[int, list] = {}
         for text, (bucket, order, h, start, _) in best.items():
             by.setdefault(bucket, []).append((text, order, h, start))
-        for bucket, *item in again:
+        for bucket, *item in sorted(again):
             by.setdefault(bucket, []).append(tuple(item))
         ids, blobs = list(by), []
         for b in ids:
             raw = by[b]
             size = 4 + 20 * len(raw) + sum(len(x[0]) for x in raw) + len(raw) - 1
             blobs.append(size.to_bytes(4, "little") + _encode(raw))
-        n = len(ids)
         cols = np.array(settled, dtype=np.int64).reshape(-1, 4)
-        m = len(cols)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids + [-1 - (i % 61) for i in range(m)], pa.int32()), pa.array(blobs + [None] * m, pa.binary()),
-             *[pa.concat_arrays([pa.nulls(n, t), pa.array(cols[:, i], t)]) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))]],
-            names=["bucket", "blob", "doc_id", "h", "s", "e"])
+        for a in range(0, len(cols), SETTLED):
+            place = mix(np.array([TaskContext.get().partitionId(), sent, a], dtype=_U)).sum(dtype=_U)
+            ids.append(-1 - int(mix(np.array([place], dtype=_U))[0] % _U(buckets)))
+            blobs.append(_encode_ranges(cols[a : a + SETTLED]))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
     def scatter(it):
-        ranks = rank.value
-        best, again, settled, size = {}, [], [], 0
+        ranks, sent = rank.value, 0
+        best, again, settled, size = {}, set(), [], 0
         for b in it:
             ids = b.column(0).fill_null(_NULL).to_pylist()
             hs = b.column(1).to_pylist()
@@ -160,15 +188,26 @@ def scattered(docs: DataFrame, buckets: int, rank: np.ndarray) -> DataFrame:
                     elif order < was[1]:
                         settled.append((was[1], was[2], was[3], was[3] + was[4] + WINDOW - 1))
                         best[piece] = (k, order, h, o, w)
-                    else:
-                        again.append((k, piece, order, h, o))
+                    elif (h, o) != was[2:4] and (item := (k, piece, order, h, o)) not in again:  # a repeated row says nothing new
+                        again.add(item)
                         size += y - x
                 if size > FLUSH or len(settled) > 500_000:
-                    yield from flush(best, again, settled)
-                    best, again, settled, size = {}, [], [], 0
-        yield from flush(best, again, settled)
+                    yield from flush(best, again, settled, sent)
+                    best, again, settled, size, sent = {}, set(), [], 0, sent + 1
+        yield from flush(best, again, settled, sent)
+
+    return docs.mapInArrow(scatter, "bucket int, blob binary")
+
 
-    return docs.mapInArrow(scatter, "bucket int, blob binary, " + RANGES)
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray, limit: int = 1 << 22) -> np.ndarray:
+    """Whether the n bytes from a and from b are equal, for arrays of places; n is positive."""
+    out = np.zeros(len(a), dtype=bool)
+    for part in np.split(np.arange(len(a)), np.flatnonzero(np.diff(np.cumsum(n) // limit)) + 1) if len(a) else []:
+        size = n[part]
+        first = np.cumsum(size) - size
+        step = np.arange(int(size.sum())) - np.repeat(first, size)
+        out[part] = np.logical_and.reduceat(data[np.repeat(a[part], size) + step] == data[np.repeat(b[part], size) + step], first)
+    return out
 
 
 def repeated(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -182,10 +221,13 @@ def repeated(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
     at, g = windows(h, first, WINDOW)
     kmer = np.searchsorted(first, at, "right") - 1
     order = ids[kmer]
-    o = np.lexsort((order, g))
-    same = np.flatnonzero(g[o][1:] == g[o][:-1])
-    for j in range(WINDOW):  # equal hashes are not taken on trust
-        same = same[h[at[o[same + 1]] + j] == h[at[o[same]] + j]]
+    other = span(prefix(mix(h ^ _U(0x6A09E667F3BCC908)), WORDS), at, at + WINDOW, WORDS)
+    o = np.lexsort((order, other, g))
+    same = np.flatnonzero((g[o][1:] == g[o][:-1]) & (other[o][1:] == other[o][:-1]))
+    x, y = s[at[o[same]]], s[at[o[same + 1]]]
+    n = e[at[o[same]] + WINDOW - 1] - x
+    like = n == e[at[o[same + 1]] + WINDOW - 1] - y
+    same = same[like][same_bytes(data, x[like], y[like], n[like])]  # equal hashes are not taken on trust
     new = np.ones(len(o), dtype=bool)
     new[same + 1] = False
     head = np.maximum.accumulate(np.where(new, np.arange(len(o)), 0))
@@ -206,12 +248,14 @@ def marked(docs: DataFrame, text_col: str = "t") -> DataFrame:
     import pandas as pd
 
     buckets = max(8 * parts(docs.sparkSession), SPREAD * docs.rdd.getNumPartitions())
-    sent = scattered(docs, buckets, heavy_ranks(docs, text_col))
+    sent = scattered(docs, buckets, heavy_ranks(docs, text_col, buckets))
 
     def gather(pdf):
+        blobs = pdf["blob"].tolist()
         if pdf["bucket"].iloc[0] < 0:
-            return pdf[["doc_id", "h", "s", "e"]]
-        d, h, s, e = repeated(pdf["blob"].tolist())
+            d, h, s, e = (np.concatenate(x) for x in zip(*map(_decode_ranges, blobs), strict=True))
+        else:
+            d, h, s, e = repeated(blobs)
         return pd.DataFrame({"doc_id": d, "h": h, "s": s.astype(np.int32), "e": e.astype(np.int32)})
 
     return sent.groupBy("bucket").applyInPandas(gather, RANGES)
@@ -223,7 +267,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Removed is each word covered by a window that also starts in a document with a smaller id.  A
     null id comes after every other; rows with one id do not remove each other's words.  Null
     and empty texts have no words.  Windows are judged on the input.  An empty table gives an
-    empty result.
+    empty result.  Other columns are not read, whatever their names.
     """
     spark = prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(empty_to_string(text_col)).alias("h"), F.col(text_col).alias("t"))
@@ -246,7 +290,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), t, pa.array(count, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "h", "t", "n_words", "kept_sha256"])
 
     rows = rows.mapInArrow(split, schema)
-    ranges = ranges.groupBy(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
+    ranges = ranges.groupBy(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).agg(F.collect_set(F.struct("s", "e")).alias("ranges"))
     both = rows.join(ranges, (F.coalesce("doc_id", F.lit(_NULL)) == F.col("__d")) & (F.col("h") == F.col("__h")), "left").select("doc_id", "t", "ranges", "n_words", "kept_sha256")
 
     def finish(it):
@@ -283,6 +327,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """deduplicated() over documents; null, empty and repeated rows as stated there."""
     return deduplicated(spark.read.parquet(f"{sf_dir}/documents.parquet"), texts=False)
 
 
