@@ -4,8 +4,10 @@ A known word is scored by its log frequency in each language.  An unseen word fa
 the longest character n-grams (5 down to 1, with a mark at either end of the word) of which the
 model knows any, scored by their mean log frequency.  A text's language has the largest sum.
 
-The model is fitted on a bounded, seeded sample of labelled rows (TRAIN_DOCS for each language);
-its tables are bounded too.  Prediction is one scan without a shuffle over all rows.
+The model is fitted on a bounded, seeded sample of labelled rows (TRAIN_DOCS for each language,
+TRAIN_TOTAL in all); every language and every word and n-gram of the sample counts.  Its tables hold
+what a language has seen; for all others of a table one log frequency a language is enough.
+Prediction is one scan without a shuffle over all rows.
 """
 
 from __future__ import annotations
@@ -16,89 +18,108 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import empty_to_string, kept_out, prepare
-from .letters import lookup, runs, sums_by
+from .letters import lookup, runs
 
-#: Documents of each language that the model is fitted on (in expectation).
+#: Documents of each language, and of all languages together, that the model is fitted on (in expectation).
 TRAIN_DOCS = 1500
-#: Languages, the most frequent ones, and entries of each table and language.
-MAX_LANGS = 200
-MAX_WORDS = 40_000
-MAX_GRAMS = 20_000
+TRAIN_TOTAL = 20_000
 ORDERS = (5, 4, 3, 2, 1)
 
 
+@dataclass
+class Table:
+    """Log frequencies of the entries of one order: base by language, and above it where a language has seen an entry."""
+
+    keys: np.ndarray
+    off: np.ndarray
+    lang: np.ndarray
+    above: np.ndarray
+    base: np.ndarray
+
+    def add(self, out: np.ndarray, at: np.ndarray, text: np.ndarray, weight: np.ndarray) -> None:
+        """Adds the log frequencies of the entries `at`, times weight, to the sums of their texts."""
+        n = len(self.base)
+        out += np.bincount(text, weight, len(out))[:, None] * self.base
+        size = self.off[at + 1] - self.off[at]
+        place = np.repeat(self.off[at] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        cell = np.repeat(text, size) * n + self.lang[place]
+        out += np.bincount(cell, self.above[place] * np.repeat(weight, size), out.size).reshape(out.shape)
+
+
 @dataclass
 class Model:
     langs: list[str]
-    #: By n-gram order, 0 for words: sorted hashes and log frequencies (entries x languages).
-    tables: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
+    #: By n-gram order, 0 for words.
+    tables: dict[int, Table] = field(default_factory=dict)
 
     def scores(self, letters) -> tuple[np.ndarray, np.ndarray]:
         """(sum of log scores by text and language, words by text)."""
-        out = np.zeros((len(letters.starts), len(self.langs)))
-        keys, logs = self.tables[0]
-        at = lookup(keys, letters.hashes())
+        n_words = np.diff(letters.first)
+        text = np.repeat(np.arange(len(n_words)), n_words)
+        out = np.zeros((len(n_words), len(self.langs)))
+        at = lookup(self.tables[0].keys, letters.hashes())
         known = at >= 0
-        out[known] = logs[at[known]]
+        self.tables[0].add(out, at[known], text[known], np.ones(int(known.sum())))
         left = np.flatnonzero(~known)
         for n in ORDERS:
             if not len(left):
                 break
-            keys, logs = self.tables[n]
             own, h = letters.grams(left, n)
-            at = lookup(keys, h)
+            at = lookup(self.tables[n].keys, h)
             own, at = own[at >= 0], at[at >= 0]
             hits = np.bincount(own, minlength=len(left))
-            some = np.flatnonzero(hits)
-            for j in range(len(self.langs)):
-                out[left[some], j] = np.bincount(own, logs[at, j], minlength=len(left))[some] / hits[some]
+            self.tables[n].add(out, at, text[left[own]], 1 / hits[own])
             left = left[hits == 0]
-        return sums_by(letters.first, out), np.diff(letters.first)
+        return out, n_words
 
 
-COUNTS = "lang string, n int, h long, c long"
+COUNTS = "lang int, n int, h long, c long"
 
 
 def fit(docs: DataFrame, lang_col: str, text_col: str, labelled: Column, key: Column, train_docs: int = TRAIN_DOCS) -> Model:
-    """The model from a sample of the rows that are labelled; key spreads the rows evenly and alike on every run."""
-    docs = docs.where(labelled & F.col(lang_col).isNotNull())
-    sizes = docs.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    langs = sorted(r["lang"] for r in sizes)
+    """The model from a sample of the rows that are labelled; key spreads the rows evenly and alike on every run.
+
+    Rows without a language or text, or with an empty one, teach nothing; repeated rows count each.  Without
+    a labelled row, as in an empty table, no language is learned.
+    """
+    spark = docs.sparkSession
+    docs = docs.where(labelled & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.pmod(key, F.lit(1 << 24)).alias("key"))
+    sizes = sorted((r["lang"], r["count"]) for r in docs.groupBy("lang").count().collect())  # a row for each language
+    langs = [x for x, _ in sizes]
     if not langs:
-        return Model([], {n: (np.zeros(0, np.uint64), np.zeros((0, 0))) for n in (0, *ORDERS)})
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, train_docs / r["count"]))])
-    sample = docs.where(F.pmod(key, F.lit(1 << 24)) < F.coalesce(F.try_element_at(share, F.col(lang_col)), F.lit(0.0)) * (1 << 24))
+        zero = np.zeros(0, np.int64)
+        return Model([], {n: Table(zero.view(np.uint64), np.zeros(1, np.int64), zero, zero, zero) for n in (0, *ORDERS)})
+    most = min(train_docs, TRAIN_TOTAL / len(langs))
+    share = spark.createDataFrame([(x, min(1.0, most / c) * (1 << 24)) for x, c in sizes], "lang string, share double")
+    sample = docs.join(F.broadcast(share), "lang").where("key < share")
+    index = {x: j for j, x in enumerate(langs)}
 
     def count(it):
         for b in it:
             names = b.column(0).to_pylist()
             for row, x in runs(b.column(1)):
-                lang = np.array([langs.index(v) for v in names[row : row + len(x.off) - 1]])
+                lang = np.array([index[v] for v in names[row : row + len(x.off) - 1]])
                 own = np.repeat(lang, np.diff(x.first))
                 every = np.arange(len(x.starts))
                 for n in (0, *ORDERS):
                     who, h = (every, x.hashes()) if n == 0 else x.grams(every, n)
                     for j in np.unique(lang):
                         u, c = np.unique(h[own[who] == j], return_counts=True)
-                        yield pa.RecordBatch.from_arrays([pa.array([langs[j]] * len(u), pa.string()), pa.array(np.full(len(u), n), pa.int32()), pa.array(u.view(np.int64)), pa.array(c.astype(np.int64))], names=["lang", "n", "h", "c"])
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), j), pa.int32()), pa.array(np.full(len(u), n), pa.int32()), pa.array(u.view(np.int64)), pa.array(c.astype(np.int64))], names=["lang", "n", "h", "c"])
 
-    counts = sample.select(lang_col, text_col).mapInArrow(count, COUNTS).groupBy("lang", "n", "h").agg(F.sum("c").alias("c"))
-    w = Window.partitionBy("lang", "n")
-    counts = counts.withColumn("all", F.sum("c").over(w)).withColumn("r", F.row_number().over(w.orderBy(F.desc("c"), "h")))
-    top = counts.where(((F.col("n") == 0) & (F.col("r") <= MAX_WORDS) | (F.col("n") > 0) & (F.col("r") <= MAX_GRAMS)) & (F.col("c") > 1)).toPandas()
+    counts = sample.select("lang", "text").mapInArrow(count, COUNTS).groupBy("lang", "n", "h").agg(F.sum("c").alias("c"))
+    found = counts.toArrow()  # bounded by the sample
+    lang, order, h, c = (found.column(x).to_numpy() for x in ("lang", "n", "h", "c"))
     model = Model(langs)
     for n in (0, *ORDERS):
-        part = top[top["n"] == n]
-        keys, at = np.unique(part["h"].to_numpy(dtype=np.int64).view(np.uint64), return_inverse=True)
-        logs = np.zeros((len(keys), len(langs)))
-        col = np.array([langs.index(x) for x in part["lang"]], dtype=np.int64)
-        total = np.ones(len(langs))
-        total[col] = part["all"]
-        logs[at, col] = part["c"]
-        model.tables[n] = keys, np.log((logs + 0.5) / (total + 0.5 * len(keys) + 1))
+        pick = np.flatnonzero(order == n)
+        pick = pick[np.lexsort((lang[pick], h[pick].view(np.uint64)))]
+        keys, first = np.unique(h[pick].view(np.uint64), return_index=True)
+        total = np.bincount(lang[pick], c[pick], len(langs))
+        base = np.log(0.5 / (total + 0.5 * len(keys) + 1))
+        model.tables[n] = Table(keys, np.append(first, len(pick)), lang[pick].astype(np.int64), np.log(2.0 * c[pick] + 1), base)
     return model
 
 
@@ -106,7 +127,8 @@ def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     """One row per input row: doc_id, lang_pred, score, from the text alone.
 
     lang_pred is `und` and score 0 if the text is null, empty or without letters, or if no
-    language was learned.  Ties go to the first language by name.  Repeated rows are alike.
+    language was learned.  Ties go to the first language by name.  Repeated rows are alike.  Texts
+    are read whole, however long.  Other columns are not read.  An empty table gives an empty result.
     """
     prepare(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -133,6 +155,7 @@ def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """identified() over documents, learned from rows that are not held out; null and empty texts as stated there."""
     docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
     labelled = F.col("doc_id").isNotNull() & ~kept_out(F.col("doc_id"), 3, 1)
     model = fit(docs, "lang", "text", labelled, F.xxhash64(F.lit("lang"), "doc_id", F.xxhash64(empty_to_string("text"))))

@@ -71,10 +71,3 @@ def lookup(keys: np.ndarray, h: np.ndarray) -> np.ndarray:
         return np.full(len(h), -1)
     at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
     return np.where(keys[at] == h, at, -1)
-
-
-def sums_by(first: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Row sums of values between successive entries of first."""
-    total = np.zeros((len(values) + 1, *values.shape[1:]))
-    np.cumsum(values, axis=0, out=total[1:])
-    return total[first[1:]] - total[first[:-1]]

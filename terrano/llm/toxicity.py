@@ -35,8 +35,8 @@ PRIOR, FLOOR = 100.0, 0.5
 #: z-score from which a token's log-odds count.
 SIGNIFICANT = 2.6
 HEAD = 4
-#: Tokens kept, those of the largest z-scores.
-MAX_TOKENS = 100_000
+#: Jaccard similarity of three-word runs from which labelled texts count as copies.
+COPY = 0.8
 
 
 @dataclass
@@ -136,7 +136,7 @@ def log_odds(counts: DataFrame) -> Model:
         rows = c.where(F.col("head") == head).withColumn("odds", odds).withColumn("z", z).where(F.abs("z") >= SIGNIFICANT)
         if head:  # many words share their first letters: only those that point to toxic text stand for them
             rows = rows.where("z > 0 AND t > 20 * n")
-        p = rows.orderBy(F.desc(F.abs("z")), "h").limit(MAX_TOKENS).select("h", "odds").toPandas()
+        p = rows.select("h", "odds").toPandas()  # bounded by the sample
         keys = p["h"].to_numpy(dtype=np.int64).view(np.uint64)
         o = np.argsort(keys)
         # a word of clean text must not outweigh the toxic ones around it
@@ -215,20 +215,42 @@ def calibrated(model: Model, sample: DataFrame) -> Model:
     return model
 
 
+def without_copies(sample: DataFrame) -> DataFrame:
+    """(text, toxic, part) of a bounded sample (id, text, toxic, part), of copies the one of the least id.
+
+    Copies would make every word of one toxic text look toxic.  Texts that share their least three-word
+    run are compared with the first of them by id; from COPY on they are copies, and if any of them is
+    toxic, what stays is.  Shorter texts are copies if they are equal.  Ties of ids go by text.
+    """
+    w = F.transform(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: F.xxhash64(x))
+    sample = sample.withColumn("w", w)
+    run = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, F.lit(3))))
+    sample = stored(sample.withColumn("set", F.array_distinct(run)).withColumn("gram", F.array_min("set")).drop("w"))
+    head = sample.groupBy("gram").agg(F.min(F.struct("id", "text")).alias("head"))
+    head = sample.join(head, "gram").where("id = head.id AND text <=> head.text").groupBy("gram").agg(F.first("head.id").alias("hid"), F.first("head.text").alias("htext"), F.first("set").alias("hset"))
+    both = F.size(F.array_intersect("set", "hset"))
+    like = both >= COPY * (F.size("set") + F.size("hset") - both)
+    rows = sample.join(head, "gram").withColumn("first", (F.col("id") == F.col("hid")) & F.col("text").eqNullSafe(F.col("htext"))).withColumn("copy", like)
+    toxic = rows.where("copy").groupBy("gram").agg(F.max("toxic").alias("worst"))
+    stay = rows.where("NOT copy").select("text", "toxic", "part").unionByName(
+        rows.where("first").dropDuplicates(["gram"]).join(toxic, "gram").select("text", F.col("worst").alias("toxic"), "part"))
+    return stay
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, usable: Column) -> Model:
-    """The model from labels (id, toxic); usable: which ids may be learned from.  Conflicting labels of an id count as toxic."""
+    """The model from labels (id, toxic); usable: which ids may be learned from.  Conflicting labels of an id count as toxic.
+
+    Null ids and labels, null and empty texts teach nothing; without a labelled row no token is learned
+    and every text gets the lowest score.  Equal inputs give the same model on every run.
+    """
     labels = labels.where(usable & F.col(id_col).isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
     share = F.when(F.col("toxic") == 1, F.lit(min(1.0, MAX_TOXIC / max(sizes.get(1, 0), 1)))).otherwise(F.lit(min(1.0, MAX_CLEAN / max(sizes.get(0, 0), 1))))
     key = F.pmod(F.xxhash64(F.lit("toxic"), "__id"), F.lit(1 << 24))
     labels = labels.where(key < share * (1 << 24)).withColumn("part", F.pmod(F.shiftright(F.xxhash64(F.lit("toxic"), "__id"), 30), F.lit(4)))
     # at most MAX_TOXIC + MAX_CLEAN rows in expectation
-    sample = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(labels), "__id").select("text", "toxic", "part")
-    # copies would make every word of one toxic text look toxic: of texts that share their least 3-gram one stays
-    sample = sample.withColumn("w", F.transform(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: F.xxhash64(x)))
-    both = lambda x, y: F.xxhash64(x, y)
-    grams = F.zip_with(F.zip_with("w", F.slice("w", 2, 1 << 30), both), F.slice("w", 3, 1 << 30), both)
-    sample = stored(sample.withColumn("gram", F.array_min(grams)).dropDuplicates(["gram"]).drop("gram", "w"))
+    sample = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(labels), "__id").select(F.col("__id").alias("id"), "text", "toxic", "part")
+    sample = stored(without_copies(sample))
     part = calibrated(log_odds(token_counts(sample.where("part > 0"))), sample.where("part = 0"))
     whole = log_odds(token_counts(sample))
     whole.drift, whole.lam, whole.k, whole.centre = part.drift, part.lam, part.k, part.centre
@@ -238,7 +260,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, usable:
 def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, score, predicted, passages (first word, end word, score of each significant segment).
 
-    Null and empty texts have no passage and the lowest score.  Repeated rows are alike.
+    Null and empty texts have no passage and the lowest score.  Repeated rows are alike.  Texts are
+    read whole, however long; other columns are not read.  An empty table gives an empty result.
     """
     prepare(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -265,7 +288,10 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The input rows that are not predicted toxic, all columns as they came; one scan, no shuffle."""
+    """The input rows that are not predicted toxic, all columns as they came; one scan, no shuffle.
+
+    Null and empty texts stay; of repeated rows all stay or none.
+    """
     prepare(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
@@ -293,6 +319,7 @@ def fitted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scored() over documents, learned from labels that are not held out; null and empty texts as stated there."""
     docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
     out = scored(docs, fitted(spark, docs, sf_dir))
     return out.select("doc_id", kept_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
