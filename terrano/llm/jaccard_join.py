@@ -30,13 +30,12 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BLOCK_SCHEMA, emit_blocks, empty_to_string, forget, freed, is_member, member_bits, prepare, stored, sum_blocks
+from .common import BLOCK_SCHEMA, emit_blocks, forget, freed, is_member, member_bits, prepare, stored, sum_blocks, text_hash, without
 from .components import components
 from .textvec import chunks, mix, shingle_sets, windows, word_hashes, words
 from .textvec import LOWER as LOW
@@ -112,15 +111,6 @@ def apart(x: bytes, y: bytes) -> int:
     return int(np.abs(x - y).sum())
 
 
-def member(keys: Column, bits) -> Column:
-    """Whether a column of longs may be in member_bits() (a broadcast); only the keys travel to Python."""
-    @F.pandas_udf("boolean")
-    def test(k: pd.Series) -> pd.Series:
-        return pd.Series(is_member(bits.value, k.to_numpy(dtype=np.int64)))
-
-    return test(keys)
-
-
 SCHEMA = "doc_id long, h long, n int, key long, chk long, sig binary, parity array<long>, tokens array<long>"
 
 
@@ -162,7 +152,7 @@ def described(docs: DataFrame, id_col: str, text_col: str, k: int, t: int, rare,
                  pa.array(sigs, pa.binary()), pa.array(odd, pa.list_(pa.int64())), pa.array(heads, pa.list_(pa.int64()))],
                 names=["doc_id", "h", "n", "key", "chk", "sig", "parity", "tokens"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(empty_to_string(text_col)).alias("h"), F.col(text_col)).mapInArrow(describe, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_hash(text_col).alias("h"), F.col(text_col)).mapInArrow(describe, SCHEMA)
 
 
 def named(df: DataFrame, clash: DataFrame | None) -> DataFrame:
@@ -220,7 +210,7 @@ class Texts:
     """The documents and what describes their classes, to come back to the texts of some of them."""
 
     def __init__(self, docs: DataFrame, text_col: str, k: int, t: int, rare, sigs: DataFrame, clash: DataFrame | None, key_bits: int):
-        self.rows = docs.select(F.col(text_col).alias("text"), F.xxhash64(empty_to_string(text_col)).alias("h"))
+        self.rows = docs.select(F.col(text_col).alias("text"), text_hash(text_col).alias("h"))
         self.k, self.t, self.rare, self.sigs, self.clash, self.key_bits = k, t, rare, sigs, clash, key_bits
 
     def of(self, classes: DataFrame):
@@ -309,6 +299,7 @@ def postings(heads: DataFrame, odd: DataFrame, t: int) -> DataFrame:
     p = heads.select("cls", "n", F.posexplode("tokens").alias("pos", "token"))
     shared = p.groupBy("token").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo != hi").select("token")
     p = first = stored(p.join(shared, "token").select("token", "cls", "n", "pos").distinct())
+    freed(heads.sparkSession)
     own = Window.partitionBy("cls")
     p = p.withColumn("share", F.count("*").over(own) / (F.col("n") * (100 - t) / 100 + 1))
     for i, v in enumerate(BEFORE):
@@ -325,7 +316,10 @@ def with_lists(p: DataFrame, members: DataFrame | None) -> DataFrame:
     now = now.withColumn("comp", F.col("cls") if members is None else F.coalesce("root", "cls")).drop("root")
     per = now.groupBy("token", "comp").agg(F.count("*").alias("c"))
     lists = per.groupBy("token").agg(F.sum("c").alias("all"), F.max_by("comp", F.struct("c", "comp")).alias("major"), F.count("*").alias("comps")).where("comps > 1")
-    return stored(now.join(lists, "token"))
+    out = stored(now.join(lists, "token"))
+    del now, per, lists
+    freed(p.sparkSession)
+    return out
 
 
 def leader_pairs(now: DataFrame, round_: int) -> DataFrame:
@@ -458,28 +452,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null ids come last.  An empty table gives an empty result.  Rows that are sure to stay do not
     move: only those whose key is among the dropped ones (a fixed-size filter tells) are joined.
     """
-    spark = docs.sparkSession
     rows = linked_rows(docs, id_col, text_col, k, t)
-    id_ = F.col(id_col).cast("long")
-    key = F.xxhash64(id_, F.xxhash64(empty_to_string(text_col)))
-    rows = rows.withColumn("key", F.xxhash64("doc_id", "h"))
     rank = F.struct(F.col("doc_id").isNull(), "doc_id", "h")
     best = rows.where("n_shingles > 0").groupBy("comp").agg(F.min(rank).alias("best")).select("comp", F.col("best.doc_id").alias("bd"), F.col("best.h").alias("bh"))
-    gone = stored(rows.where("n_shingles > 0").join(best, "comp").where("NOT (doc_id <=> bd AND h = bh)").select("doc_id", "h", "key").distinct())
-    repeats = stored(rows.groupBy("key").count().where("count > 1").select("key"))
-    bits = spark.sparkContext.broadcast(member_bits(gone.select("key").unionByName(repeats)))
-    marked = docs.withColumn("__key", key).withColumn("__may", member(F.col("__key"), bits))
-    sure = marked.where(~F.col("__may")).drop("__key", "__may")
-    rest = marked.where("__may").withColumn("__h", F.xxhash64(empty_to_string(text_col)))
-    on = (rest["__key"] == gone["key"]) & (rest["__h"] == gone["h"]) & rest[id_col].cast("long").eqNullSafe(gone["doc_id"])
-    rest = rest.join(gone, on, "left_anti")
-    if repeats.take(1):
-        # equal in id and text: the row whose columns hash least
-        every = [F.col(f"`{c}`") for c in docs.columns]
-        rest = rest.groupBy("__key", "__h", F.col(id_col).cast("long").alias("__id")).agg(F.min_by(F.struct(*every), F.xxhash64(*every)).alias("__row")).select("__row.*")
-    else:
-        rest = rest.drop("__key", "__may", "__h")
-    return sure.unionByName(rest)
+    gone = stored(rows.where("n_shingles > 0").join(best, "comp").where("NOT (doc_id <=> bd AND h = bh)").select("doc_id", "h").distinct())
+    repeats = stored(rows.groupBy("doc_id", "h").count().where("count > 1").select("doc_id", "h"))
+    forget(docs.sparkSession, rows)
+    return without(docs, id_col, text_col, gone, repeats)
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,10 +34,10 @@ from .textvec import _mix_scalar, mix
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 29
-#: Units, candidates and token ids that a worker remembers; beyond any of them it starts afresh.
-MEMORY = 1_000_000
-CANDIDATES = 8_000_000
-TOKENS = 12_000_000
+#: Units, candidates and token ids that a task remembers; beyond any of them it starts afresh.
+MEMORY = 400_000
+CANDIDATES = 3_000_000
+TOKENS = 4_000_000
 #: Units that are looked up together, and symbols whose agendas run together.
 STEP = 200_000
 SYMBOLS = 1 << 20
@@ -332,17 +332,12 @@ def segment_many(v: Vocabulary, units: list[str], keys: list[int], p: float) ->
     return [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])] if units else []
 
 
-@lru_cache(maxsize=2)
-def memory(path: str, p: float) -> Memory:
-    """What is remembered holds for any document, so the tasks of a worker share it."""
-    return Memory(vocabulary(path), p)
-
-
 class Encoder:
     """Encodes and decodes texts."""
 
     def __init__(self, path: str = MODEL, dropout: float = DROPOUT):
-        self.v, self.memory = vocabulary(path), memory(path, dropout)
+        self.v = vocabulary(path)
+        self.memory = Memory(self.v, dropout)
 
     def units(self, text: str) -> list[str]:
         # a literal mark is no space: an empty unit stands for it

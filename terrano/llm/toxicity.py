@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept_out, prepare, stored
+from .common import forget, kept_out, prepare, stored
 from .letters import lookup, runs
 
 #: Labelled documents that the model is fitted on (in expectation).
@@ -216,25 +216,33 @@ def calibrated(model: Model, sample: DataFrame) -> Model:
 
 
 def without_copies(sample: DataFrame) -> DataFrame:
-    """(text, toxic, part) of a bounded sample (id, text, toxic, part), of copies the one of the least id.
+    """(text, toxic, part) of a bounded sample (id, text, toxic, part), of copies the one of the least id; a written table.
 
     Copies would make every word of one toxic text look toxic.  Texts that share their least three-word
     run are compared with the first of them by id; from COPY on they are copies, and if any of them is
-    toxic, what stays is.  Shorter texts are copies if they are equal.  Ties of ids go by text.
+    toxic, what stays is.  Shorter texts are copies if they are equal.
     """
-    w = F.transform(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: F.xxhash64(x))
-    sample = sample.withColumn("w", w)
-    run = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 2, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, F.lit(3))))
-    sample = stored(sample.withColumn("set", F.array_distinct(run)).withColumn("gram", F.array_min("set")).drop("w"))
-    head = sample.groupBy("gram").agg(F.min(F.struct("id", "text")).alias("head"))
-    head = sample.join(head, "gram").where("id = head.id AND text <=> head.text").groupBy("gram").agg(F.first("head.id").alias("hid"), F.first("head.text").alias("htext"), F.first("set").alias("hset"))
+    def runs_of(text: str) -> Column:
+        w = F.transform(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: F.xxhash64(x))
+        both = lambda x, y: F.xxhash64(x, y)
+        runs = F.zip_with(F.zip_with(w, F.slice(w, 2, 1 << 30), both), F.slice(w, 3, 1 << 30), both)
+        return F.slice(runs, F.lit(1), F.greatest(F.size(w) - 2, F.lit(1)))
+
+    # equal texts first: they reach the one that stays as one row a task
+    text = F.coalesce("text", F.lit(""))
+    sample = sample.groupBy(text.alias("text")).agg(F.min("id").alias("id"), F.max("toxic").alias("toxic"), F.min_by("part", "id").alias("part"))
+    sample = stored(sample.withColumn("gram", F.array_min(runs_of("text"))))
+    heads = sample.groupBy("gram").agg(F.min(F.struct("id", F.xxhash64("text").alias("h"))).alias("head"), F.count("*").alias("c")).where("c > 1").select("gram", "head")
+    several = sample.join(heads, "gram").withColumn("first", F.struct("id", F.xxhash64("text").alias("h")) == F.col("head")).withColumn("set", F.array_distinct(runs_of("text")))
+    head = several.where("first").select("gram", F.col("set").alias("hset"))
     both = F.size(F.array_intersect("set", "hset"))
     like = both >= COPY * (F.size("set") + F.size("hset") - both)
-    rows = sample.join(head, "gram").withColumn("first", (F.col("id") == F.col("hid")) & F.col("text").eqNullSafe(F.col("htext"))).withColumn("copy", like)
+    rows = several.join(head, "gram").select("gram", "text", "toxic", "part", "first", like.alias("copy"))
     toxic = rows.where("copy").groupBy("gram").agg(F.max("toxic").alias("worst"))
-    stay = rows.where("NOT copy").select("text", "toxic", "part").unionByName(
-        rows.where("first").dropDuplicates(["gram"]).join(toxic, "gram").select("text", F.col("worst").alias("toxic"), "part"))
-    return stay
+    alone = sample.join(heads, "gram", "left_anti").select("text", "toxic", "part")
+    out = stored(alone.unionByName(rows.where("NOT copy").select("text", "toxic", "part")).unionByName(rows.where("first").join(toxic, "gram").select("text", F.col("worst").alias("toxic"), "part")))
+    forget(sample.sparkSession, sample)
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, usable: Column) -> Model:
@@ -250,10 +258,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, usable:
     labels = labels.where(key < share * (1 << 24)).withColumn("part", F.pmod(F.shiftright(F.xxhash64(F.lit("toxic"), "__id"), 30), F.lit(4)))
     # at most MAX_TOXIC + MAX_CLEAN rows in expectation
     sample = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(labels), "__id").select(F.col("__id").alias("id"), "text", "toxic", "part")
-    sample = stored(without_copies(sample))
+    sample = without_copies(sample)
     part = calibrated(log_odds(token_counts(sample.where("part > 0"))), sample.where("part = 0"))
     whole = log_odds(token_counts(sample))
     whole.drift, whole.lam, whole.k, whole.centre = part.drift, part.lam, part.k, part.centre
+    forget(docs.sparkSession, sample)
     return whole
 
 
