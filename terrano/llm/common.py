@@ -157,15 +157,6 @@ def is_member(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (7 - (at & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
 
 
-def member(keys: Column, bits) -> Column:
-    """Whether a column of longs may be in member_bits() (a broadcast); only the keys travel to Python."""
-    @F.arrow_udf("boolean")
-    def test(k: pa.Array) -> pa.Array:
-        return pa.array(is_member(bits.value, k.to_numpy(zero_copy_only=False)))
-
-    return test(keys)
-
-
 def text_hash(text_col: str) -> Column:
     return F.xxhash64(empty_to_string(text_col))
 
@@ -173,12 +164,15 @@ def text_hash(text_col: str) -> Column:
 def without(docs: DataFrame, id_col: str, text_col: str, gone: DataFrame, repeats: DataFrame) -> DataFrame:
     """docs without the rows of gone (doc_id, h: the text's hash), and one row of each of repeats (doc_id, h).
 
-    Rows that are sure to stay do not move: only those whose key is in a fixed-size filter are joined.
+    Rows that are sure to stay do not move: only those whose key is in a filter of 2**26 bits are joined.
     """
-    spark = docs.sparkSession
-    key = F.xxhash64(F.col(id_col).cast("long"), text_hash(text_col))
-    bits = spark.sparkContext.broadcast(member_bits(gone.unionByName(repeats).select(F.xxhash64("doc_id", "h").alias("key"))))
-    marked = docs.withColumn("__key", key).withColumn("__may", member(F.col("__key"), bits))
+    bit = "cast(shiftrightunsigned(__key, 38) & 63 AS int)"
+    keys = gone.unionByName(repeats).select(F.xxhash64("doc_id", "h").alias("__key"))
+    words = keys.groupBy(F.shiftrightunsigned("__key", 44).alias("__w")).agg(F.bit_or(F.expr(f"shiftleft(1L, {bit})")).alias("__bits"))
+    marked = docs.withColumn("__key", F.xxhash64(F.col(id_col).cast("long"), text_hash(text_col))).withColumn("__w", F.shiftrightunsigned("__key", 44))
+    # 2**20 words at most, whatever the input
+    marked = marked.join(F.broadcast(words), "__w", "left").withColumn("__may", F.expr(f"coalesce(shiftright(__bits, {bit}) & 1, 0L) = 1"))
+    marked = marked.drop("__w", "__bits")
     sure = marked.where(~F.col("__may")).drop("__key", "__may")
     rest = marked.where("__may").withColumn("__h", text_hash(text_col))
     rest = rest.join(gone, (rest["__h"] == gone["h"]) & rest[id_col].cast("long").eqNullSafe(gone["doc_id"]), "left_anti")
