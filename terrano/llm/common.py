@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import math
 import tempfile
@@ -15,6 +17,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+# Arrays of some MB go back to the system once they are freed: workers live long, and what one stage
+# leaves in a heap would weigh on all that follow.  -3 is glibc's M_MMAP_THRESHOLD; other systems do without.
+with contextlib.suppress(OSError, AttributeError):
+    ctypes.CDLL("libc.so.6").mallopt(-3, 2 << 20)
+
 #: Rows in one Arrow batch: long texts keep a batch of a few thousand rows in the tens of MB.
 ARROW_ROWS = 1000
 
@@ -140,10 +147,11 @@ def member_bits(keys: DataFrame) -> np.ndarray:
     def mark(it):
         from pyspark import TaskContext
 
-        bits = np.zeros(1 << MEMBERS, dtype=bool)
+        bits = np.zeros(1 << (MEMBERS - 3), dtype=np.uint8)
         for b in it:
-            bits[b.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - MEMBERS)] = True
-        yield from emit_blocks(np.packbits(bits).view("<u4"), TaskContext.get().partitionId())
+            at = b.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - MEMBERS)
+            np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(128) >> (at & np.uint64(7)).astype(np.uint8))
+        yield from emit_blocks(bits.view("<u4"), TaskContext.get().partitionId())
 
     # blocks are added up, and a bit may be set once only: each block's keys go to one task
     c = keys.columns[0]

@@ -10,7 +10,7 @@ import pyarrow as pa
 
 from .textvec import CHARS, mix, prefix, span, words
 
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 _U = np.uint64
 
 

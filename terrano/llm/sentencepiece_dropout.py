@@ -39,8 +39,8 @@ MEMORY = 400_000
 CANDIDATES = 3_000_000
 TOKENS = 4_000_000
 #: Units that are looked up together, and symbols whose agendas run together.
-STEP = 200_000
-SYMBOLS = 1 << 20
+STEP = 60_000
+SYMBOLS = 1 << 18
 #: Longer units take the agenda one by one and are not remembered.
 LONG = 48
 MARK = "▁"
@@ -405,8 +405,8 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
     def each(it):
         e = Encoder(path, dropout)
         for b in it:
-            for a in range(0, b.num_rows, 500):
-                part = b.slice(a, 500)
+            for a in range(0, b.num_rows, 200):
+                part = b.slice(a, 200)
                 texts = [x or "" for x in part.column(2).to_pylist()]
                 ids = e.encode(texts, part.column(3).to_numpy())
                 same = [e.decode(x.tolist()) == t for x, t in zip(ids, texts, strict=True)]
