@@ -30,30 +30,55 @@ def controls(df: DataFrame) -> tuple[DataFrame, list[str]]:
     return centred(df, cols).drop("__m"), list(cols)
 
 
-def fitted(df: DataFrame, y: str, xs: list[str], area: str, weight: str | None = None, ridge: float = 1e-6) -> tuple[DataFrame, dict]:
+def time_dummies(df: DataFrame, label: str, reference: str) -> tuple[DataFrame, list[str]]:
+    """0/1 columns for the labels but those that end in the reference (else but the last one); labels are few."""
+    found = sorted(str(r[0]) for r in df.select(label).distinct().collect() if r[0] is not None)
+    left = [x for x in found if not x.endswith(str(reference))]
+    left = left[:-1] if left == found else left
+    names = [f"t_{i}" for i in range(len(left))]
+    return df.withColumns({n: (F.col(label).cast("string") == x).cast("double") for n, x in zip(names, left, strict=True)}), names
+
+
+def fitted(df: DataFrame, y: str, xs: list[str], area: str, weight: str | None = None, ridge: float = 1e-6, fixed: dict[str, float] | None = None) -> tuple[DataFrame, dict]:
     """(area, theta, d, n) and the controls' coefficients: area effects are absorbed, so only small sums reach the driver.
 
-    theta is the area's mean residual, d its HC1 variance (meat of its own rows plus the controls' share).
+    theta is the area's mean residual, d its HC1 variance: the share of the area's own rows, of the controls'
+    coefficients, and of both together.  fixed: controls with known coefficients, taken off before.
     """
     w = F.col(weight) if weight else F.lit(1.0)
+    own = sum((F.col(c) * float(b) for c, b in (fixed or {}).items()), F.lit(0.0))
     g = Window.partitionBy(area)
     mean = lambda c: F.sum(w * F.col(c)).over(g) / F.sum(w).over(g)
-    x = df.select(area, w.alias("__w"), *[F.col(c) for c in [y, *xs]], *[mean(c).alias(f"m_{c}") for c in [y, *xs]])
+    x = df.withColumn(y, F.col(y) - own)
+    x = x.select(area, w.alias("__w"), *[F.col(c) for c in [y, *xs]], *[mean(c).alias(f"m_{c}") for c in [y, *xs]])
     z = {c: F.col(c) - F.col(f"m_{c}") for c in [y, *xs]}
     pairs = [(a, b) for i, a in enumerate(xs) for b in xs[i:]]
-    row = x.agg(*[F.sum(F.col("__w") * z[a] * z[b]).alias(f"p{i}") for i, (a, b) in enumerate(pairs)], *[F.sum(F.col("__w") * z[a] * z[y]).alias(f"y{i}") for i, a in enumerate(xs)], F.sum(F.when(F.col("__w") > 0, 1).otherwise(0)).alias("n"), F.count_distinct(area).alias("k")).first()
     p = len(xs)
-    xtx, xty = np.zeros((p, p)), np.array([row[f"y{i}"] for i in range(p)], dtype=float)
-    for i, (a, b) in enumerate(pairs):
-        xtx[xs.index(a), xs.index(b)] = xtx[xs.index(b), xs.index(a)] = row[f"p{i}"]
-    beta = np.linalg.solve(xtx + ridge * np.eye(p), xty)
-    e = F.col(y) - sum((F.col(c) * float(b) for c, b in zip(xs, beta, strict=True)), F.lit(0.0))
-    x = x.withColumn("__e", e)
-    theta = F.sum(F.col("__w") * F.col("__e")) / F.sum("__w")
-    x = x.withColumn("__u", F.col("__e") - F.sum(F.col("__w") * F.col("__e")).over(g) / F.sum("__w").over(g))
+
+    def matrix(row, prefix):
+        out = np.zeros((p, p))
+        for i, (a, b) in enumerate(pairs):
+            out[xs.index(a), xs.index(b)] = out[xs.index(b), xs.index(a)] = row[f"{prefix}{i}"]
+        return out
+
+    row = x.agg(*[F.sum(F.col("__w") * z[a] * z[b]).alias(f"p{i}") for i, (a, b) in enumerate(pairs)], *[F.sum(F.col("__w") * z[a] * z[y]).alias(f"y{i}") for i, a in enumerate(xs)], F.sum(F.when(F.col("__w") > 0, 1).otherwise(0)).alias("n"), F.count_distinct(area).alias("k")).first()
+    bread = np.linalg.inv(matrix(row, "p") + ridge * np.eye(p)) if p else np.zeros((0, 0))
+    beta = bread @ np.array([row[f"y{i}"] for i in range(p)], dtype=float)
+    fit = sum((F.col(c) * float(b) for c, b in zip(xs, beta, strict=True)), F.lit(0.0))
+    u = z[y] - sum((z[c] * float(b) for c, b in zip(xs, beta, strict=True)), F.lit(0.0))
+    x = x.withColumn("__e", F.col(y) - fit).withColumn("__s", (F.col("__w") * u) ** 2)
+    meat = matrix(x.agg(F.count("*"), *[F.sum(F.col("__s") * z[a] * z[b]).alias(f"q{i}") for i, (a, b) in enumerate(pairs)]).first(), "q")
+    spread = bread @ meat @ bread
+    total = F.sum("__w")
+    out = x.groupBy(area).agg(
+        (F.sum(F.col("__w") * F.col("__e")) / total).alias("theta"), F.count("*").alias("n"), (F.sum("__s") / total ** 2).alias("__o"),
+        *[F.first(f"m_{c}").alias(f"__m{i}") for i, c in enumerate(xs)], *[(F.sum(F.col("__s") * z[c]) / total).alias(f"__c{i}") for i, c in enumerate(xs)])
+    zero = F.lit(0.0)
+    cross = sum((F.col(f"__m{i}") * F.col(f"__c{j}") * float(bread[i, j]) for i in range(p) for j in range(p)), zero)
+    shared = sum((F.col(f"__m{i}") * F.col(f"__m{j}") * float(spread[i, j]) for i in range(p) for j in range(p)), zero)
     dof = max(row["n"] - p - row["k"], 1)
-    out = x.groupBy(area).agg(theta.alias("theta"), F.greatest(F.sum((F.col("__w") * F.col("__u")) ** 2) / F.sum("__w") ** 2 * row["n"] / dof, F.lit(1e-9)).alias("d"), F.count("*").alias("n"))
-    return out, dict(zip(xs, beta.tolist(), strict=True))
+    d = (F.col("__o") - 2 * cross + shared) * (row["n"] / dof)
+    return out.select(area, "theta", F.greatest(d, F.lit(1e-9)).alias("d"), "n"), dict(zip(xs, beta.tolist(), strict=True))
 
 
 def variance(theta: np.ndarray, x: np.ndarray, d: np.ndarray, tol: float = 1e-8, rounds: int = 200) -> tuple[float, np.ndarray, np.ndarray]:

@@ -73,8 +73,9 @@ def packed(pdf, n: int, value: str) -> np.ndarray:
     return out
 
 
-def calibrated(od: DataFrame, sigma=4.0, nu=0.05, eps=4.6, mu=0.47, alpha=0.7, delta=0.38) -> DataFrame:
-    """(code, a, price, amenity, cma, gap) for a long table (grp, n, i, value, tau, d, w): n, i are positions 0..N-1, w the workplace's wage."""
+def calibrated(od: DataFrame, sigma=4.0, nu=0.05, eps=4.6, mu=0.47, alpha=0.7) -> DataFrame:
+    """(code, a, price, amenity, cma, gap) for a long table (grp, n, i, value, tau, d, w, q): n, i are positions 0..N-1,
+    w the workplace's wage, q the observed price of floor space at the residence."""
     def each(pdf):
         import pandas as pd
 
@@ -89,8 +90,8 @@ def calibrated(od: DataFrame, sigma=4.0, nu=0.05, eps=4.6, mu=0.47, alpha=0.7, d
         # incomes are scaled so that what is earned can be spent
         v = v * (wage * jobs).sum() / (v * res).sum()
         a, price, _, gap = productivity(jobs, res, wage, v, d, sigma, nu)
-        rent = (1 - alpha) * v * res
-        rent = rent ** (1 / (1 + delta))
+        rent = np.ones(n)
+        rent[pdf["n"].to_numpy(int)] = pdf["q"]
         cma = (tau ** (-eps * mu) * wage**eps).sum(1)
         b = res / jobs.sum() * (price**alpha * rent ** (1 - alpha)) ** eps / cma
         b /= np.exp(np.log(b).mean())
@@ -99,8 +100,11 @@ def calibrated(od: DataFrame, sigma=4.0, nu=0.05, eps=4.6, mu=0.47, alpha=0.7, d
     return od.groupBy("grp").applyInPandas(each, "grp int, code int, a double, price double, amenity double, cma double, gap double")
 
 
-def network_effect(od: DataFrame) -> DataFrame:
-    """(grp, welfare, spread, sd_r, sd_l, rounds) of new travel times, for (grp, n, i, value, tau, tau_new, d, w)."""
+def network_effect(od: DataFrame, sigma=4.0, nu=0.05, eps=4.6, alpha=0.7, delta=0.38) -> DataFrame:
+    """(grp, welfare, spread, sd_r, sd_l, rounds) of new travel times, for (grp, n, i, value, tau, tau_new, d, w).
+
+    The base is the calibrated state: trade shares by the productivities that balance income and expenditure.
+    """
     def each(pdf):
         import pandas as pd
 
@@ -109,19 +113,12 @@ def network_effect(od: DataFrame) -> DataFrame:
         wage = np.ones(n)
         wage[pdf["i"].to_numpy(int)] = pdf["w"]
         wage /= wage.mean()  # the wage level is a numeraire
-        lam0, res, jobs = com / com.sum(), com.sum(1), com.sum(0)
-        v0 = (com / res[:, None]) @ wage
-        x = d ** (-3.0)
-        pi0 = x / x.sum(0, keepdims=True)
-        # the base state's wages must clear its own trade shares: A absorbs the difference, as hats start from balance
-        income = wage * jobs
-        spend = v0 * res
-        for _ in range(2000):
-            got = pi0 @ spend
-            pi0 = pi0 * (income / got)[:, None]
-            pi0 /= pi0.sum(0, keepdims=True)
-        one = np.ones(n)
-        out = counterfactual(one, np.ones((n, n)), new / tau, np.ones((n, n)), wage, v0, lam0, jobs, res, pi0)
+        res, jobs = com.sum(1), com.sum(0)
+        res, jobs = res / res.mean(), jobs / jobs.mean()
+        v0 = (com / com.sum(1, keepdims=True)) @ wage
+        _, _, share, _ = productivity(jobs, res, wage, v0, d, sigma, nu)
+        ones = np.ones((n, n))
+        out = counterfactual(np.ones(n), ones, new / tau, ones, wage, v0, com / com.sum(), jobs, res, share, alpha, eps, delta, sigma, nu)
         return pd.DataFrame([(pdf["grp"].iloc[0], out["welfare"], out["spread"], float(np.log(out["r"]).std()), float(np.log(out["l"]).std()), out["rounds"])], columns=["grp", "welfare", "spread", "sd_r", "sd_l", "rounds"])
 
     return od.groupBy("grp").applyInPandas(each, "grp int, welfare double, spread double, sd_r double, sd_l double, rounds int")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import codes, parse
-from ..operators import hedonic, relational, stats
+from ..operators import hedonic, relational, stats, transactions
 from .base import Tables, query
 
 MICRO_SQL = """micro AS (
@@ -79,9 +79,10 @@ def json_values(t):
     return t.events.select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-@query(f"""WITH {MICRO_SQL} SELECT CASE market WHEN 'A' THEN 'primary' WHEN 'R' THEN 'wtorny' ELSE 'unknown' END AS market, count(*) AS n, round(median(ppm2), 6) AS med FROM micro GROUP BY 1""")
+@query(f"""WITH {MICRO_SQL} SELECT CASE market WHEN 'A' THEN 'primary' WHEN 'R' THEN 'secondary' ELSE 'unknown' END AS market, count(*) AS n, round(median(ppm2), 6) AS med FROM micro GROUP BY 1""")
 def market_mix(t):
-    return micro(t).groupBy(F.when(F.col("market") == "A", "primary").when(F.col("market") == "R", "wtorny").otherwise("unknown").alias("market")).agg(F.count("*").alias("n"), r6(F.median("ppm2")).alias("med"))
+    named = F.when(F.col("market") == "A", "pierwotny").when(F.col("market") == "R", "wtorny")
+    return micro(t).groupBy(parse.market_category(named).alias("market")).agg(F.count("*").alias("n"), r6(F.median("ppm2")).alias("med"))
 
 
 @query(f"""WITH {MICRO_SQL}, m AS (SELECT area_code, region, market, avg(ppm2) AS v FROM micro GROUP BY 1, 2, 3),
@@ -101,12 +102,9 @@ SELECT n_nationkey AS area_code, CASE WHEN n >= 15 THEN 'area' WHEN r.m IS NOT N
 round(ln(greatest(coalesce(CASE WHEN n >= 15 THEN g.m END, r.m, a.m), 1)), 6) AS log_land
 FROM nation LEFT JOIN g ON n_nationkey = area_code LEFT JOIN r ON n_regionkey = r.region, a""")
 def land_surface(t):
-    x = micro(t).where("rooms < 3")
-    g = x.groupBy("area_code").agg(F.median("price").alias("mg"), F.count("*").alias("n"))
-    r, a = x.groupBy("region").agg(F.median("price").alias("mr")), x.agg(F.median("price").alias("ma"))
-    y = t.nation.join(g, F.col("n_nationkey") == F.col("area_code"), "left").join(F.broadcast(r), F.col("n_regionkey") == F.col("region"), "left").crossJoin(F.broadcast(a))
-    own = F.when(F.col("n") >= 15, F.col("mg"))
-    return y.select(F.col("n_nationkey").alias("area_code"), F.when(F.col("n") >= 15, "area").when(F.col("mr").isNotNull(), "region").otherwise("all").alias("level"), F.coalesce("n", F.lit(0)).alias("n"), r6(F.ln(F.greatest(F.coalesce(own, "mr", "ma"), F.lit(1.0)))).alias("log_land"))
+    land = micro(t).where("rooms < 3").select(F.col("area_code").alias("area"), "region", F.col("price").alias("land_ppm2"))
+    x = transactions.land_surface(land, t.nation.select(F.col("n_nationkey").alias("area"), F.col("n_regionkey").alias("region")), ["area", "region"])
+    return x.select(F.col("area").alias("area_code"), F.col("land_level").alias("level"), F.col("n_land").alias("n"), r6("log_land").alias("log_land"))
 
 
 @query(f"""WITH {MICRO_SQL}, g AS (SELECT area_code, region, avg(ppm2) AS v, count(*) AS w FROM micro GROUP BY 1, 2)
@@ -164,12 +162,6 @@ def count_pivot(t):
     return relational.counted(t.orders, "o_custkey", "o_orderstatus", ["F", "O", "P"])
 
 
-@query("SELECT CAST(o_custkey AS VARCHAR) AS kod, o_orderstatus AS status, CAST(year(o_orderdate) AS VARCHAR) AS year, round(sum(o_totalprice), 4) AS value FROM orders WHERE o_custkey <= 100 GROUP BY 1, 2, 3")
-def wide_round_trip(t):
-    """Dimension-coded columns and back."""
-    return _round_trip(t.orders.where("o_custkey <= 100"))
-
-
 def _round_trip(orders):
     x = orders.withColumn("h", F.concat_ws(";", "o_orderstatus", F.year("o_orderdate")))
     wide = x.groupBy(F.col("o_custkey").cast("string").alias("kod")).pivot("h").agg(F.sum("o_totalprice"))
@@ -177,17 +169,17 @@ def _round_trip(orders):
 
 
 @query("SELECT CAST(o_custkey AS VARCHAR) AS kod, o_orderstatus AS status, CAST(year(o_orderdate) AS VARCHAR) AS year, round(sum(o_totalprice), 4) AS value FROM orders GROUP BY 1, 2, 3")
-def wide_round_trip_whole(t):
-    """wide_round_trip, whose SQL has the first customers only, for all of them."""
+def wide_round_trip(t):
+    """Dimension-coded columns and back."""
     return _round_trip(t.orders)
 
 
 @query("""WITH m AS (SELECT c_custkey, c_nationkey, c_acctbal, rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC) AS rk, (c_acctbal - avg(c_acctbal) OVER ()) / stddev_samp(c_acctbal) OVER () AS z FROM customer)
 SELECT c_custkey, rk, round(z, 6) AS z FROM m""")
 def ranks_and_scores(t):
-    a = Window.partitionBy()
-    z = (F.col("c_acctbal") - F.avg("c_acctbal").over(a)) / F.stddev_samp("c_acctbal").over(a)
-    return t.customer.select("c_custkey", F.rank().over(Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"))).cast("long").alias("rk"), r6(z).alias("z"))
+    all_ = t.customer.agg(F.avg("c_acctbal").alias("m"), F.stddev_samp("c_acctbal").alias("s"))  # one row
+    z = (F.col("c_acctbal") - F.col("m")) / F.col("s")
+    return t.customer.crossJoin(F.broadcast(all_)).select("c_custkey", F.rank().over(Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"))).cast("long").alias("rk"), r6(z).alias("z"))
 
 
 @query("""SELECT c_custkey, c_nationkey, round(c_acctbal / sum(c_acctbal) OVER (PARTITION BY c_nationkey), 9) AS share FROM (
@@ -211,15 +203,8 @@ def outer_combined(t):
     return relational.outer_all([a, b], "k").na.fill(0)
 
 
-@query("SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y FROM orders WHERE year(o_orderdate) = (SELECT coalesce(max(year(o_orderdate)) FILTER (year(o_orderdate) <= 2000), min(year(o_orderdate))) FROM orders) AND o_orderkey % 10 = 0")
-def latest_earlier_year(t):
-    x = t.orders.withColumn("y", F.year("o_orderdate"))
-    return relational.for_year(x, "y", 2000).where("o_orderkey % 10 = 0").select("o_orderkey", "y")
-
-
 @query("SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS y FROM orders WHERE year(o_orderdate) = (SELECT coalesce(max(year(o_orderdate)) FILTER (year(o_orderdate) <= 2000), min(year(o_orderdate))) FROM orders)")
-def latest_earlier_year_whole(t):
-    """latest_earlier_year, whose SQL has every tenth order only, for all of them."""
+def latest_earlier_year(t):
     return relational.for_year(t.orders.withColumn("y", F.year("o_orderdate")), "y", 2000).select("o_orderkey", "y")
 
 
@@ -252,3 +237,16 @@ def area_model(t):
     x = t.nation.select(F.col("n_nationkey").alias("area_code"), F.col("n_regionkey").alias("region")).join(_hedonic(t), "area_code", "left")
     x = x.withColumn("theta", F.when(F.col("area_code") != 7, F.col("theta"))).withColumn("urban", (F.col("region") % 2).cast("double"))
     return hedonic.shrunk(x, "area_code", ["urban"]).select("area_code", *[F.round(c, 5).alias(c) for c in ("theta_tilde", "sd", "gamma", "index")])
+
+
+@query(f"""WITH {MICRO_SQL}, c AS (SELECT area_code, ln(ppm2) AS y, ln(area) - avg(ln(area)) OVER () AS x FROM micro),
+d AS (SELECT area_code, avg(x) OVER (PARTITION BY area_code) AS m, y - avg(y) OVER (PARTITION BY area_code) AS yd, x - avg(x) OVER (PARTITION BY area_code) AS z FROM c),
+b AS (SELECT sum(z * yd) / (sum(z * z) + 1e-6) AS b, 1 / (sum(z * z) + 1e-6) AS q, count(*) AS n, count(DISTINCT area_code) AS k FROM d),
+u AS (SELECT area_code, m, z, (yd - b * z) * (yd - b * z) AS s FROM d, b),
+t AS (SELECT sum(s * z * z) AS t FROM u),
+g AS (SELECT area_code, count(*) AS c, min(m) AS m, sum(s) AS o, sum(s * z) AS sz FROM u GROUP BY 1)
+SELECT area_code, round((o / c / c - 2 * m * q * sz / c + m * m * q * q * t) * n / (n - 1 - k) * 1e6, 5) AS d FROM g, b, t""")
+def hedonic_variances(t):
+    """HC1 variances of area effects, with the control's share."""
+    x = hedonic.centred(micro(t).select("area_code", F.ln("ppm2").alias("y"), "area"), {"log_area": F.ln("area")})
+    return hedonic.fitted(x, "y", ["log_area"], "area_code")[0].select("area_code", F.round(F.col("d") * 1e6, 5).alias("d"))

@@ -29,7 +29,7 @@ def test_generated_flows(spark):
         if 100 * np.abs(jobs - want.sum(0)).sum() < 1e-3:
             break
         b = np.where(jobs > 0, b * jobs / np.where(jobs > 0, want.sum(0), 1), 0)
-    got = dense(entry.queries()["flows_generated_matrix"](spark, SF))
+    got = dense(entry.queries()["flows_generated"](spark, SF))
     assert got.sum(0) == pytest.approx(jobs, abs=1e-3) and got == pytest.approx(want, abs=1e-4)
 
 

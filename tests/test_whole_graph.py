@@ -38,11 +38,11 @@ def table(spark, tmp_path_factory):
 
 
 def test_edges(spark, table):
-    got = {(r.u, r.v): r.time for r in entry.queries()["fastest_edges_whole"](spark, table[0]).collect()}
+    got = {(r.u, r.v): r.time for r in entry.queries()["fastest_edges"](spark, table[0]).collect()}
     assert got == pytest.approx(table[1], abs=1e-4)
 
 
-@pytest.mark.parametrize("name", ["travel_times", "relaxed_times_whole"])
+@pytest.mark.parametrize("name", ["travel_times", "relaxed_times"])
 def test_times(spark, table, name):
     got = {(r.o, r.d): r.sec for r in entry.queries()[name](spark, table[0]).collect()}
     assert got == pytest.approx(table[3], abs=1e-3)
@@ -50,5 +50,5 @@ def test_times(spark, table, name):
 
 def test_components(spark, table):
     _, _, nodes, far = table
-    got = {r.node: r.scc for r in entry.queries()["strong_components_whole"](spark, table[0]).collect()}
+    got = {r.node: r.scc for r in entry.queries()["strong_components"](spark, table[0]).collect()}
     assert got == {a: min(b for b in nodes if (a, b) in far and (b, a) in far) for a in nodes}

@@ -19,7 +19,7 @@ def table(spark, tmp_path_factory):
 
 
 def test_latest_earlier_year(spark, table):
-    got = entry.queries()["latest_earlier_year_whole"](spark, table[0]).collect()
+    got = entry.queries()["latest_earlier_year"](spark, table[0]).collect()
     assert sorted(tuple(r) for r in got) == [(r[0], 2000) for r in table[1] if r[4].year == 2000]
 
 
@@ -27,5 +27,5 @@ def test_wide_round_trip(spark, table):
     want = Counter()
     for r in table[1]:
         want[str(r[1]), r[2], str(r[4].year)] += r[3]
-    got = entry.queries()["wide_round_trip_whole"](spark, table[0]).collect()
+    got = entry.queries()["wide_round_trip"](spark, table[0]).collect()
     assert {(r.kod, r.status, r.year): r.value for r in got} == want
