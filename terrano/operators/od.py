@@ -20,7 +20,17 @@ def cut(df: DataFrame) -> DataFrame:
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + os.path.join(os.environ.get("TMPDIR", "/tmp"), "terrano-loops")
     path = f"{base.rstrip('/')}/loop-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def drop_cut(*frames: DataFrame) -> None:
+    """Deletes tables of cut() that a loop has passed."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._cut_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def margins(od: DataFrame) -> DataFrame:
@@ -55,30 +65,41 @@ def ipf(od: DataFrame, rows: DataFrame, cols: DataFrame, tau: DataFrame | None =
         m = od.join(tau, ["n", "i"]).withColumn("value", F.col("value") + F.when(F.col("n") == F.col("i"), F.lit(floor)).otherwise(floor * F.pow("tau", F.lit(-phi)))).drop("tau")
     r, c = rows.agg(F.sum("r")).first()[0], cols.agg(F.sum("c")).first()[0]
     t = (r + c) / 2
-    m = m.join(F.broadcast(rows.withColumn("r", F.col("r") * (t / r))), "n").join(F.broadcast(cols.withColumn("c", F.col("c") * (t / c))), "i")
+    # the matrix never changes: each side has a factor for each unit, and a round is an aggregation for either side
+    m = cut(m.select("n", "i", "value").join(F.broadcast(rows.select("n")), "n", "left_semi").join(F.broadcast(cols.select("i")), "i", "left_semi"))
+    r_, c_ = rows.select("n", (F.col("r") * (t / r)).alias("r")), cols.select("i", (F.col("c") * (t / c)).alias("c"))
+    b = cut(c_.select("i", F.lit(1.0).alias("b")))
     for k in range(rounds):
-        s = F.sum("value").over(_by("n"))
-        m = m.withColumn("value", F.col("value") * F.col("r") / F.when(s == 0, 1.0).otherwise(s))
-        s = F.sum("value").over(_by("i"))
-        m = m.withColumn("value", F.col("value") * F.col("c") / F.when(s == 0, 1.0).otherwise(s))
-        if k % 4 == 3 or k == rounds - 1:
-            m = cut(m)
-            if tol > 0:
-                e = m.groupBy("n").agg(F.max(F.abs(F.lit(0.0) + F.col("r"))).alias("r"), F.sum("value").alias("s")).agg(F.max(F.abs(F.col("s") - F.col("r")))).first()[0]
-                if e is None or e < tol * t:
-                    break
-    return m.select("n", "i", "value")
+        reach = m.join(F.broadcast(b), "i").groupBy("n").agg(F.sum(F.col("value") * F.col("b")).alias("s")).join(F.broadcast(r_), "n")
+        a = reach.select("n", (F.col("r") / F.when(F.col("s") == 0, 1.0).otherwise(F.col("s"))).alias("a"))
+        before = b
+        reach = m.join(F.broadcast(a), "n").groupBy("i").agg(F.sum(F.col("value") * F.col("a")).alias("s")).join(F.broadcast(c_), "i")
+        b = cut(reach.select("i", (F.col("c") / F.when(F.col("s") == 0, 1.0).otherwise(F.col("s"))).alias("b")))
+        if k == rounds - 1:
+            break
+        if tol > 0 and k % 4 == 3:
+            e = m.join(F.broadcast(b), "i").join(F.broadcast(a), "n").groupBy("n").agg(F.sum(F.col("value") * F.col("a") * F.col("b")).alias("s")).join(r_, "n")
+            e = e.agg(F.max(F.abs(F.col("s") - F.col("r")))).first()[0]
+            if e is None or e < tol * t:
+                break
+        drop_cut(before)
+    return m.join(F.broadcast(a), "n").join(F.broadcast(b), "i").select("n", "i", (F.col("value") * F.col("a") * F.col("b")).alias("value"))
 
 
 def absorbed(df: DataFrame, values: list[str], rounds: int = 200, tol: float = 1e-10) -> DataFrame:
     """Two-way demeaned columns; on a complete panel one closed-form pass is exact, else passes repeat."""
     sizes = df.agg(F.count("*"), F.count_distinct("n"), F.count_distinct("i")).first()
     if sizes[0] == sizes[1] * sizes[2]:
-        return df.select(*[c for c in df.columns if c not in values], *[(F.col(v) - F.avg(v).over(_by("n")) - F.avg(v).over(_by("i")) + F.avg(v).over(_by())).alias(v) for v in values])
+        whole = df.agg(*[F.avg(v).alias(f"__{v}") for v in values])  # one row
+        return df.crossJoin(F.broadcast(whole)).select(*[c for c in df.columns if c not in values], *[(F.col(v) - F.avg(v).over(_by("n")) - F.avg(v).over(_by("i")) + F.col(f"__{v}")).alias(v) for v in values])
+    old = None
     for k in range(rounds):
         df = df.select(*[c for c in df.columns if c not in values], *[(F.col(v) - F.avg(v).over(_by("n"))).alias(v) for v in values])
         df = df.withColumns({f"__{v}": F.avg(v).over(_by("i")) for v in values})
         df = cut(df.withColumns({v: F.col(v) - F.col(f"__{v}") for v in values}))
+        if old is not None:
+            drop_cut(old)
+        old = df
         adj = df.agg(*[F.max(F.abs(f"__{v}")) for v in values]).first()
         df = df.drop(*[f"__{v}" for v in values])
         if max(x or 0.0 for x in adj) < tol:
@@ -131,13 +152,17 @@ def points_to_areas(times: DataFrame, member: DataFrame) -> DataFrame:
 
 def generated(tau: DataFrame, wages: DataFrame, residents: DataFrame, jobs: DataFrame, eps: float, mu: float, rounds: int = 2000, tol: float = 1e-3) -> DataFrame:
     """Flows whose column sums meet jobs (i, l) given residents (n, r): B_i grows by L / L-hat until they do."""
-    m = tau.join(F.broadcast(wages), "i").join(F.broadcast(residents), "n").join(F.broadcast(jobs), "i")
-    m = m.withColumn("u", F.pow("w", F.lit(eps)) * F.pow("tau", F.lit(-eps * mu))).withColumn("b", F.lit(1.0))
+    m = tau.join(F.broadcast(wages), "i").join(F.broadcast(residents.select("n")), "n", "left_semi")
+    m = cut(m.select("n", "i", (F.pow("w", F.lit(eps)) * F.pow("tau", F.lit(-eps * mu))).alias("u")).join(F.broadcast(jobs.select("i")), "i", "left_semi"))
+    old, b = None, cut(jobs.select("i", F.lit(1.0).alias("b")))
     for k in range(rounds):
-        m = m.withColumn("value", F.col("b") * F.col("u") / F.sum(F.col("b") * F.col("u")).over(_by("n")) * F.col("r"))
-        m = cut(m.withColumn("hat", F.sum("value").over(_by("i"))))
-        gap = m.select("i", "l", "hat").distinct().agg(F.sum(F.abs(F.col("l") - F.col("hat")))).first()[0]
+        a = m.join(F.broadcast(b), "i").groupBy("n").agg(F.sum(F.col("b") * F.col("u")).alias("s")).join(F.broadcast(residents), "n").select("n", (F.col("r") / F.col("s")).alias("a"))
+        hat = m.join(F.broadcast(a), "n").groupBy("i").agg(F.sum(F.col("a") * F.col("u")).alias("s"))
+        step = cut(jobs.select("i", "l").join(b, "i").join(hat, "i").select("i", "l", "b", (F.col("b") * F.col("s")).alias("hat")))
+        gap = step.agg(F.sum(F.abs(F.col("l") - F.col("hat")))).first()[0]
         if gap is None or 100 * gap < tol or k == rounds - 1:
             break
-        m = m.withColumn("b", F.col("b") * F.col("l") / F.col("hat")).drop("value", "hat")
-    return m.select("n", "i", "value")
+        if old is not None:
+            drop_cut(old)
+        old, b = step, step.select("i", (F.col("b") * F.col("l") / F.col("hat")).alias("b"))
+    return m.join(F.broadcast(a), "n").join(F.broadcast(b), "i").select("n", "i", (F.col("a") * F.col("b") * F.col("u")).alias("value"))
