@@ -71,16 +71,19 @@ def directions(oneway: Column, junction: Column, road: Column) -> tuple[Column,
     return no | ~back, no | back | ~only
 
 
-def class_speed(road: Column, urban: Column, factor: float = 1.0) -> Column:
-    rural_ = F.create_map(*[F.lit(x) for c, r, _, _ in ROADS for x in (c, float(r))])
-    urban_ = F.create_map(*[F.lit(x) for c, _, u, _ in ROADS for x in (c, float(u))])
+def class_speed(road: Column, urban: Column, factor: float = 1.0, profile: dict[str, tuple[float, float]] | None = None) -> Column:
+    """km/h of a class, outside and inside built-up areas as the profile has them; classes it lacks get one speed."""
+    known = profile or {c: (r, u) for c, r, u, _ in ROADS}
+    rural_, urban_ = (F.create_map(*[F.lit(x) for c, v in known.items() for x in (c, float(v[k]))]) for k in (0, 1))
     v = F.when(urban, F.try_element_at(urban_, road)).otherwise(F.try_element_at(rural_, road))
     return F.coalesce(v, F.lit(float(UNKNOWN_SPEED))) * factor
 
 
 def lane_capacity(road: Column, lanes: Column, oneway: Column) -> Column:
+    """Vehicles an hour: the first number of lanes stated, at least one; else one lane where nothing comes back, two elsewhere."""
     per = F.create_map(*[F.lit(x) for c, _, _, k in ROADS for x in (c, float(k))])
-    n = F.coalesce(F.get(F.split(lanes, ";"), F.lit(0)).try_cast("double"), F.when(oneway, 1.0).otherwise(2.0))
+    stated = F.nullif(F.get(F.split(lanes, ";"), F.lit(0)).try_cast("double"), F.lit(float("nan")))
+    n = F.coalesce(F.when(stated.isNotNull(), F.greatest(F.floor(stated).cast("double"), F.lit(1.0))), F.when(oneway, 1.0).otherwise(2.0))
     return F.coalesce(F.try_element_at(per, road), F.lit(600.0)) * n
 
 
