@@ -124,12 +124,20 @@ def network_effect(od: DataFrame, sigma=4.0, nu=0.05, eps=4.6, alpha=0.7, delta=
     return od.groupBy("grp").applyInPandas(each, "grp int, welfare double, spread double, sd_r double, sd_l double, rounds int")
 
 
-def invariants(state: DataFrame, total: float) -> DataFrame:
-    """(check, passed, value) for one row per place (l, r, a, b, uncond)."""
-    s = state.agg(F.sum("l").alias("l"), F.sum("r").alias("r"), F.sum("uncond").alias("u"), F.min("a").alias("a"), F.avg(F.ln("b")).alias("b"))
-    return s.select(F.explode(F.array(
-        F.struct(F.lit("jobs").alias("check"), (F.abs(F.col("l") - total) < 1e-3).alias("passed"), F.col("l").alias("value")),
-        F.struct(F.lit("residents"), F.abs(F.col("r") - total) < 1e-3, F.col("r")),
-        F.struct(F.lit("shares"), F.abs(F.col("u") - 1) < 1e-8, F.col("u")),
-        F.struct(F.lit("productivity"), F.col("a") > 0, F.col("a")),
-        F.struct(F.lit("amenity"), F.abs(F.col("b")) < 1e-6, F.col("b")))).alias("c")).select("c.*")
+def invariants(state: DataFrame, total: float, tau: DataFrame | None = None, balance: DataFrame | None = None) -> DataFrame:
+    """(check, passed, value) for one row per place (l, r, a, b, uncond), times (tau) and (income, expenditure) by place; what is null fails."""
+    def row(name, ok, value):
+        return F.struct(F.lit(name).alias("check"), F.coalesce(ok, F.lit(False)).alias("passed"), value.cast("double").alias("value"))
+
+    def checks(df, *rows):
+        return df.select(F.explode(F.array(*rows)).alias("c")).select("c.*")
+    s = state.agg(F.sum("l").alias("l"), F.sum("r").alias("r"), F.sum("uncond").alias("u"), F.min("a").alias("a"), F.exp(F.avg(F.ln("b"))).alias("b"))
+    out = checks(s, row("jobs", F.abs(F.col("l") - total) < 1e-3, F.col("l")), row("residents", F.abs(F.col("r") - total) < 1e-3, F.col("r")),
+                 row("shares", F.abs(F.col("u") - 1) < 1e-8, F.col("u")), row("productivity", F.col("a") > 0, F.col("a")), row("amenity", F.abs(F.col("b") - 1) < 1e-6, F.col("b")))
+    if tau is not None:
+        finite = F.col("tau").isNotNull() & ~F.isnan("tau") & (F.abs("tau") < float("inf"))
+        out = out.unionByName(checks(tau.agg(F.every(finite).alias("ok"), F.max("tau").alias("m")), row("times", F.col("ok"), F.col("m"))))
+    if balance is not None:
+        g = balance.agg(F.max(F.abs(F.col("income") - F.col("expenditure"))).alias("gap"), F.max(F.abs("income")).alias("scale"))
+        out = out.unionByName(checks(g, row("income", F.col("gap") < 1e-3 * F.greatest(F.col("scale"), F.lit(1.0)), F.col("gap"))))
+    return out

@@ -166,3 +166,12 @@ def generated(tau: DataFrame, wages: DataFrame, residents: DataFrame, jobs: Data
             drop_cut(old)
         old, b = step, step.select("i", (F.col("b") * F.col("l") / F.col("hat")).alias("b"))
     return m.join(F.broadcast(a), "n").join(F.broadcast(b), "i").select("n", "i", (F.col("a") * F.col("b") * F.col("u")).alias("value"))
+
+
+def effective_cost(tau: DataFrame, modes: list | None = None, congestion: dict | None = None) -> DataFrame:
+    """Travel times as they are; further modes and congestion are places for extensions and not built."""
+    if modes:
+        raise NotImplementedError("further modes")
+    if congestion is not None:
+        raise NotImplementedError("congestion")
+    return tau

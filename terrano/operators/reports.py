@@ -105,3 +105,30 @@ def solve_order(needs: dict[int, int | None]) -> list[int]:
             year = needs.get(year)
         out += chain[::-1]
     return out
+
+
+def levels(df: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
+    """Logs of positive values, as maps show them; others are null."""
+    return df.select(key, *[F.when(F.col(c) > 0, F.ln(c)).alias(f"log_{c}") for c in values])
+
+
+def own_share(flows: DataFrame) -> DataFrame:
+    """(n, share) of those of each residence n who stay (n, i, value)."""
+    return flows.groupBy("n").agg((F.sum(F.when(F.col("n") == F.col("i"), F.col("value")).otherwise(0.0)) / F.sum("value")).alias("share"))
+
+
+def log_changes(a: DataFrame, b: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
+    """d_value = ln b - ln a on the keys of both runs; null where either is not positive."""
+    x = a.select(key, *[F.col(c).alias(f"a_{c}") for c in values]).join(b.select(key, *[F.col(c).alias(f"b_{c}") for c in values]), key)
+    return x.select(key, *[F.when((F.col(f"a_{c}") > 0) & (F.col(f"b_{c}") > 0), F.ln(f"b_{c}") - F.ln(f"a_{c}")).alias(f"d_{c}") for c in values])
+
+
+def log_correlation(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
+    """(pairs, rho) of the logs of two runs over keys where both are positive."""
+    x = a.select(key, F.col(value).alias("x")).join(b.select(key, F.col(value).alias("y")), key).where("x > 0 AND y > 0")
+    return x.agg(F.count("*").alias("pairs"), F.corr(F.ln("x"), F.ln("y")).alias("rho"))
+
+
+def from_origin(runs: DataFrame, origin) -> DataFrame:
+    """(i, a, b, change) from one origin to every destination of aligned runs (n, i, a, b), the nearest first."""
+    return runs.where(F.col("n") == F.lit(origin)).select("i", "a", "b", (F.col("b") - F.col("a")).alias("change")).orderBy("a", "i")

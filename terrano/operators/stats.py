@@ -30,7 +30,11 @@ def impute(df: DataFrame, value: str, levels: Sequence[Sequence[str]], raw: bool
     """Missing values by group medians, finest level first; raw: all medians are of the original values."""
     out = df.withColumn("__raw", F.col(value))
     for keys in levels:
-        out = out.withColumn(value, F.coalesce(F.col(value), F.median("__raw" if raw else value).over(Window.partitionBy(*keys))))
+        middle = F.median("__raw" if raw else value)
+        if keys:
+            out = out.withColumn(value, F.coalesce(F.col(value), middle.over(Window.partitionBy(*keys))))
+        else:  # one row for all, not a window over them
+            out = out.crossJoin(F.broadcast(out.agg(middle.alias("__all")))).withColumn(value, F.coalesce(F.col(value), "__all")).drop("__all")
     return out.drop("__raw")
 
 

@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import flows, market, more, prices, roads, space  # noqa: F401
+from . import flows, market, more, places, prices, roads, space  # noqa: F401
 from .base import QUERIES, SQL  # noqa: F401
