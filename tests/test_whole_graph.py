@@ -8,6 +8,7 @@ import random
 import pytest
 
 import __spark_entry__ as entry
+from terrano.operators import graph
 
 
 @pytest.fixture(scope="module")
@@ -52,3 +53,19 @@ def test_components(spark, table):
     _, _, nodes, far = table
     got = {r.node: r.scc for r in entry.queries()["strong_components"](spark, table[0]).collect()}
     assert got == {a: min(b for b in nodes if (a, b) in far and (b, a) in far) for a in nodes}
+
+
+def test_rounds_leave_only_the_result(spark, table, monkeypatch):
+    written, cut = [], graph.cut
+
+    def spied(df):
+        written.append(cut(df))
+        return written[-1]
+
+    monkeypatch.setattr(graph, "cut", spied)
+    monkeypatch.setattr(graph, "MAX_PAIRS", 30, raising=False)  # several blocks of sources
+    got = {(r.o, r.d): r.sec for r in entry.queries()["relaxed_times"](spark, table[0]).collect()}
+    assert got == pytest.approx(table[3], abs=1e-3)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    kept = [x for x in written if path(x._cut_path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path(x._cut_path))]
+    assert len(kept) <= -(-len(table[2]) ** 2 // 30)
