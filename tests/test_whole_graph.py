@@ -69,3 +69,14 @@ def test_rounds_leave_only_the_result(spark, table, monkeypatch):
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     kept = [x for x in written if path(x._cut_path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path(x._cut_path))]
     assert len(kept) <= -(-len(table[2]) ** 2 // 30)
+
+
+def test_edges_pass_the_driver_packed(spark, table, monkeypatch):
+    def no(self):
+        raise AssertionError("rows of the graph came to the driver")
+
+    monkeypatch.setattr(type(spark.range(1)), "toPandas", no)
+    e = spark.createDataFrame([(str(u), str(v), t, 1.0) for (u, v), t in table[1].items()], "u string, v string, time double, len double")
+    n = spark.createDataFrame([(str(x),) for x in [*table[2], -1]], "node string")
+    got = {(int(r.o), int(r.d)): r.sec for r in graph.travel_times(e, n, n).collect()}
+    assert got == pytest.approx(table[3], abs=1e-6)
