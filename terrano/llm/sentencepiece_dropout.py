@@ -35,12 +35,12 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 29
 #: Units, candidates and token ids that a task remembers; beyond any of them it starts afresh.
-MEMORY = 400_000
-CANDIDATES = 3_000_000
-TOKENS = 4_000_000
+MEMORY = 150_000
+CANDIDATES = 1_200_000
+TOKENS = 1_500_000
 #: Units that are looked up together, and symbols whose agendas run together.
-STEP = 60_000
-SYMBOLS = 1 << 18
+STEP = 20_000
+SYMBOLS = 1 << 16
 #: Longer units take the agenda one by one and are not remembered.
 LONG = 48
 MARK = "▁"
@@ -405,8 +405,8 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
     def each(it):
         e = Encoder(path, dropout)
         for b in it:
-            for a in range(0, b.num_rows, 200):
-                part = b.slice(a, 200)
+            for a in range(0, b.num_rows, 50):
+                part = b.slice(a, 50)
                 texts = [x or "" for x in part.column(2).to_pylist()]
                 ids = e.encode(texts, part.column(3).to_numpy())
                 same = [e.decode(x.tolist()) == t for x, t in zip(ids, texts, strict=True)]

@@ -64,3 +64,12 @@ def test_pair_table():
     a, b = (np.array(x) for x in zip(*pairs, strict=True))
     want = [v.pairs.get(x * v.size + y, s._NONE) if x >= 0 and y >= 0 else s._NONE for x, y in pairs]
     assert v.ranks(a, b).tolist() == want
+
+
+def test_a_task_remembers_little():
+    e = s.Encoder()
+    for k in range(12):
+        words = " ".join(f"w{k}x{j}" for j in range(20_000))
+        e.encode([words], np.array([k]))
+    m = e.memory
+    assert len(m.known) <= 200_000 and sum(8 * len(x) for x in (m.spans, m.span_off, m.id_off)) + 4 * len(m.ids) < 24 << 20
