@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import heapq
 import random
 
 import pytest
@@ -80,3 +81,45 @@ def test_edges_pass_the_driver_packed(spark, table, monkeypatch):
     n = spark.createDataFrame([(str(x),) for x in [*table[2], -1]], "node string")
     got = {(int(r.o), int(r.d)): r.sec for r in graph.travel_times(e, n, n).collect()}
     assert got == pytest.approx(table[3], abs=1e-6)
+
+
+def _plain(edges, s):
+    """Dijkstra by a heap."""
+    far, heap = {}, [(0.0, s)]
+    while heap:
+        d, x = heapq.heappop(heap)
+        if x not in far:
+            far[x] = d
+            for (u, v), t in edges.items():
+                if u == x:
+                    heapq.heappush(heap, (d + t, v))
+    return far
+
+
+def _rows(spark, edges):
+    nodes = sorted({x for e in edges for x in e})
+    e = spark.createDataFrame([(u, v, t, 1.0) for (u, v), t in edges.items()], "u long, v long, time double, len double")
+    return e, spark.createDataFrame([(x,) for x in nodes], "node long"), {(a, b): d for a in nodes for b, d in _plain(edges, a).items()}
+
+
+def test_rounds_write_nothing(spark, monkeypatch):
+    written, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: written.append(1) or cut(df))
+    edges = {(i, i + 1): 0.5 for i in range(12)} | {(0, 12): 9.0, (12, 3): 1.0}
+    e, n, far = _rows(spark, edges)
+    assert {(r.o, r.d): r.sec for r in graph.relaxed(e, n).collect()} == far
+    assert len(written) < 12  # a write a round before
+    alone = spark.createDataFrame([(0,), (0,), (77,)], "node long")
+    assert sorted((r.o, r.d, r.sec) for r in graph.relaxed(e, alone, 2).collect()) == [(0, 0, 0.0), (0, 1, 0.5), (0, 2, 1.0), (0, 3, 10.0), (0, 12, 9.0), (77, 77, 0.0)]
+
+
+@pytest.mark.parametrize("most", [0, 10_000_000])
+def test_times_by_joins_and_by_workers(spark, monkeypatch, most):
+    monkeypatch.setattr(graph, "MAX_EDGES", most)
+    monkeypatch.setattr(graph, "BLOCK", 15, raising=False)  # several blocks a task
+    monkeypatch.setattr(graph, "MAX_ROWS", 2, raising=False)
+    edges = {(1, 2): 4.0, (2, 3): 1.0, (3, 1): 2.5, (1, 3): 9.0, (4, 1): 1.0, (5, 6): 3.0}
+    e, n, far = _rows(spark, edges)
+    e = e.union(spark.createDataFrame([(2, 5, None, 1.0), (6, 1, float("nan"), 1.0)], e.schema))  # without a time, no way
+    assert {(r.o, r.d): r.sec for r in graph.travel_times(e, n, n.where("node != 3")).collect()} == {(o, d): t for (o, d), t in far.items() if d != 3}
+    assert {(r.o, r.d): r.sec for r in graph.relaxed(e, n).collect()} == far
