@@ -5,7 +5,9 @@ from __future__ import annotations
 import datetime as dt
 import heapq
 import random
+from functools import partial
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
@@ -113,6 +115,28 @@ def test_rounds_write_nothing(spark, monkeypatch):
     assert sorted((r.o, r.d, r.sec) for r in graph.relaxed(e, alone, 2).collect()) == [(0, 0, 0.0), (0, 1, 0.5), (0, 2, 1.0), (0, 3, 10.0), (0, 12, 9.0), (77, 77, 0.0)]
 
 
+def test_many_sources_take_few_steps(monkeypatch):
+    r = random.Random(3)
+    n = 150
+    # a grid of equal times (many ties), random edges, and nodes without a way out
+    edges = {(i, j): 1.0 for i in range(100) for j in ([i + 1] if i % 10 < 9 else []) + ([i + 10] if i < 90 else [])}
+    edges |= {(r.randrange(n - 10), r.randrange(n)): r.randint(100, 9000) / 100 for _ in range(900)}
+    edges = dict(sorted((e, t) for e, t in edges.items() if e[0] != e[1]))
+    u, v = np.array(list(edges), np.int32).T
+    links = (np.searchsorted(u, np.arange(n + 1)), v, np.array(list(edges.values())))
+    far = [_plain(edges, s) for s in range(n)]
+    steps, moved = [], graph._moved
+    monkeypatch.setattr(graph, "_moved", lambda *a: steps.append(1) or moved(*a))
+    monkeypatch.setattr(graph, "MAX_STEPS", 1000)
+    for settle in (graph._in_order, partial(graph._in_rounds, None)):
+        steps.clear()
+        dist, mark, pairs = np.full(n * n, np.inf), np.empty(n * n, np.int32), np.arange(n) * (n + 1)
+        dist[pairs] = 0
+        settle(dist, mark, pairs, links)
+        assert {divmod(int(x), n): dist[x] for x in np.flatnonzero(np.isfinite(dist))} == pytest.approx({(s, d): t for s in range(n) for d, t in far[s].items()})
+        assert len(steps) < n  # by a heap each source alone takes up to n
+
+
 @pytest.mark.parametrize("most", [0, 10_000_000])
 def test_times_by_joins_and_by_workers(spark, monkeypatch, most):
     monkeypatch.setattr(graph, "MAX_EDGES", most)
